@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def slices(batch: pa.RecordBatch, column: str, most: int = KERNEL_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts together stay below a size, but for one longer text alone."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     begin, total = 0, 0
     for i, n in enumerate(sizes):
         if i > begin and total + n > most:

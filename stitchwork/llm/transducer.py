@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from stitchwork.llm import bpe, common, words
@@ -273,7 +274,7 @@ def count_documents(docs: DataFrame, path: str = VOCABULARY, limit: int = LIMIT,
             for part in common.slices(batch, "text"):
                 column = part.column("text")
                 n = counter.count_texts(common.texts(column)) if len(part) else np.empty(0, np.int64)
-                sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).cast(pa.int64())
+                sizes = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return common.map_arrow(common.renamed(docs, {"doc_id": id_col, "text": text_col}), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
