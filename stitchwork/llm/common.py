@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch, and characters that one call of a numpy kernel gets (one longer text is a call of its own).
 BATCH_ROWS = 2000
@@ -48,7 +49,7 @@ def renamed(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     return docs.select(*(docs[f"`{old}`"].alias(new) for new, old in columns.items()))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     spark = df.sparkSession
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     if int(old) <= 0 or int(old) > BATCH_ROWS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stitchwork.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality, secrets, token_output, transducer
+from stitchwork.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality, secrets, substrings, token_output, transducer
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_substrings": substrings.op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.OP6_SQL}

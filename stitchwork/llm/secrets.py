@@ -29,6 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so that a minimum of 16 drops just the shorter ones
 PRIVATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)?")
 JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+MARK = "[redacted]"
 LEAST = {"assign": 12, "access": 18}
 #: One of these is in any text that has an assign match.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -94,6 +95,37 @@ class Ledger:
         return rows.join(found, "blob", "left").select("path", "version", "blob", F.coalesce("found", none).alias("found"))
 
 
+def redact(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with a mark in place of each run of overlapping spans; spans in order of their starts."""
+    out, done = [], 0
+    for start, end in spans:
+        if start >= done:
+            out += [text[done:start], MARK]
+        done = max(done, end)
+    return "".join([*out, text[done:]])
+
+
+def redacted(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, with MARK in place of secrets in the text; count_col, if there is one, counts the new text's characters."""
+    found = ledger.scan(docs, id_col, None, text_col).where(F.size("found") > 0).select(F.col("path").alias(id_col), "found")
+    found = common.stored(found.dropDuplicates([id_col]), f"{common.work_dir(docs.sparkSession)}/found")
+    ids = found.select(id_col)
+    spans = found.select(F.col(id_col).alias("found_in"), F.col("found").alias("found_spans"))
+    hit = common.matching(docs, ids, id_col, True)
+    hit = hit.join(spans, hit[f"`{id_col}`"] == F.col("found_in"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [redact(t, [(s["start"], s["end"]) for s in f]) for t, f in zip(batch.column(text_col).to_pylist(), batch.column("found_spans").to_pylist(), strict=True)]
+            for name, values in ((text_col, texts), (count_col, [len(t) for t in texts])):
+                if name in batch.schema.names:
+                    field = batch.schema.field(name)
+                    batch = batch.set_column(batch.schema.get_field_index(name), field, pa.array(values, field.type))
+            yield batch.drop_columns(["found_in", "found_spans"])
+
+    return common.map_arrow(hit, run, docs.schema).unionByName(common.matching(docs, ids, id_col, False))
+
+
 def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
 
