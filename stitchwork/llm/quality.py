@@ -5,8 +5,8 @@ Base rules count words, characters, symbols, repeated lines and words in repeate
 
 The verdict on the rest is by hashed n-grams of characters: the last three of each word, and the last two of a word with the first two
 of the next across the gap. There are boundedly many of them however large the corpus, unlike words. They are hashed into a fixed number
-of buckets, and two smoothed multinomials over the buckets are fitted, one on the trusted documents (labelled quality 1), one on the
-whole raw corpus. A document's score is the sum of its buckets' log-likelihood ratios over the number of its n-grams. Ratios are rounded
+of buckets, and two multinomials over the buckets are fitted, one on the trusted documents (labelled quality 1) and smoothed by the
+other, one on the whole raw corpus; that keeps the ratios alike whatever the sizes of the two. A document's score is the sum of its buckets' log-likelihood ratios over the number of its n-grams. Ratios are rounded
 to whole millionths, so that sums are exact in whatever order they are made, and exactly the documents with a score of at least the
 threshold are kept. The ratios, at most one for each bucket, are broadcast.
 
@@ -27,9 +27,9 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 BUCKETS = 1 << 16
-#: Added to each bucket's count in both multinomials.
-SMOOTHING = 1.0
-THRESHOLD = -0.5
+#: The share of the raw multinomial in the smoothed target, which then has no bucket below SHARE / (1 + SHARE) times the raw one's.
+SHARE = 0.1
+THRESHOLD = -0.8
 #: Trusted documents that the target is fitted on; of more labelled ones, a fixed sample of about so many.
 TRUSTED_MOST = 200_000
 SCALE = 1_000_000
@@ -91,8 +91,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     all_ = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
     if not all_.target:
         return counts.select("bucket", F.lit(0).cast("long").alias("ratio"))
-    likely = lambda c, n: F.log((F.col(c) + SMOOTHING) / F.lit(n + SMOOTHING * BUCKETS))
-    return counts.select("bucket", F.round((likely("target", all_.target) - likely("raw", all_.raw)) * SCALE).cast("long").alias("ratio"))
+    ratio = F.col("target") / all_.target / (F.col("raw") / all_.raw)
+    return counts.select("bucket", F.round(F.log((ratio + SHARE) / (1 + SHARE)) * SCALE).cast("long").alias("ratio"))
 
 
 def scores(docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
