@@ -103,7 +103,7 @@ def gold_clusters(spark: SparkSession, path: str) -> DataFrame:
     """A10: (cluster, id) of name<tab>id,id,... lines, or, in .txt files, of blocks between empty lines whose first line is the name."""
     if path.endswith(".txt"):
         blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\s*\n")).alias("b"))
-        lines = blocks.select(F.split(F.trim("b"), "\n").alias("x")).where(F.size("x") > 1)
+        lines = blocks.select(F.filter(F.split("b", r"\s*\n"), lambda x: F.trim(x) != "").alias("x")).where(F.size("x") > 1)
         return lines.select(F.col("x")[0].alias("cluster"), F.explode(F.slice("x", 2, F.size("x") - 1)).alias("id"))
     lines = spark.read.text(path).where("value != ''").select(F.split("value", "\t").alias("x"))
     return lines.select(F.col("x")[0].alias("cluster"), F.explode(F.split(F.col("x")[1], ",")).alias("id"))
