@@ -111,3 +111,29 @@ def dependency_scores(found: dict, gold: dict, closure) -> dict[str, float]:
     share = lambda a, b: sum(x in closure(det, b) for det, x in split(a)) / max(1, len(split(a)))
     p, r = share(found, gold), share(gold, found)
     return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}
+
+
+def expanded(edges: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Edges between merged columns as edges between their sources. provenance: target, source."""
+    side = lambda x: provenance.select(F.col("target").alias(x), F.col("source").alias(f"{x}_source"))
+    return edges.select("l", "r").join(side("l"), "l").join(side("r"), "r").select(F.col("l_source").alias("l"), F.col("r_source").alias("r")).distinct()
+
+
+def provenance_overlap(found: DataFrame, reference: DataFrame) -> DataFrame:
+    """(f, g, weight): weight of the sources that a found and a reference item share. Both: id, source, weight."""
+    g = reference.select(F.col("id").alias("g"), "source")
+    return found.select(F.col("id").alias("f"), "source", "weight").join(g, "source").groupBy("f", "g").agg(F.sum("weight").alias("weight"))
+
+
+def edges_to_gold(edges: DataFrame) -> DataFrame:
+    """Gold clusters (id, cluster) from scored edges (l, r, score > 0)."""
+    from stitchwork.operators.graph import components
+
+    return components(edges.where("score > 0").select("l", "r")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
+def weighted_pairwise(gold: DataFrame, edges: DataFrame) -> DataFrame:
+    """M02, weighted: precision of edges, each counting the product of its ends' weights. gold: id, cluster, weight."""
+    side = lambda x: gold.select(F.col("id").alias(x), F.col("cluster").alias(f"{x}_c"), F.col("weight").alias(f"{x}_w"))
+    both = edges.join(side("l"), "l").join(side("r"), "r").withColumn("w", F.col("l_w") * F.col("r_w"))
+    return both.agg(F.round(F.try_divide(F.sum(F.when(F.col("l_c") == F.col("r_c"), F.col("w")).otherwise(0)), F.sum("w")), 6).alias("precision"))

@@ -222,3 +222,84 @@ def context_fallback(a: Column, b: Column, context: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(Column.__or__, conditions)
+
+
+def propagated_determinants(determinants: DataFrame, edges: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(table_id, cols): determinants carried over to the tables that all their columns match columns of, until none is new; without
+    supersets of others and without those of context columns only. determinants: table_id, cols; edges: l, r, l_table, r_table."""
+    from stitchwork.operators.graph import _cut
+
+    ways = edges.select("l", "r", "l_table", "r_table").unionByName(edges.select(F.col("r").alias("l"), F.col("l").alias("r"), F.col("r_table").alias("l_table"), F.col("l_table").alias("r_table")))
+    ways = ways.groupBy("l_table", "r_table", "l").agg(F.min("r").alias("r"))
+    known = _cut(determinants.select("table_id", F.array_sort("cols").alias("cols")).distinct())
+    while True:
+        long = known.select("table_id", "cols", F.explode("cols").alias("l"))
+        moved = long.join(ways, (F.col("table_id") == F.col("l_table")) & (long["l"] == ways["l"])).groupBy("table_id", "cols", "r_table").agg(F.array_sort(F.collect_set("r")).alias("new"))
+        fresh = moved.where(F.size("new") == F.size("cols")).select(F.col("r_table").alias("table_id"), F.col("new").alias("cols")).distinct()
+        new = _cut(fresh.join(known, ["table_id", "cols"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = _cut(known.unionByName(new))
+    smaller = known.select(F.col("table_id").alias("t"), F.col("cols").alias("part"))
+    minimal = known.join(smaller, (F.col("table_id") == F.col("t")) & (F.size("part") < F.size("cols")) & (F.size(F.array_except("part", "cols")) == 0), "left_anti")
+    if context is None:
+        return minimal
+    marked = minimal.select("table_id", "cols", F.explode("cols").alias("c")).join(context.select(F.col("col_id").alias("c")), "c", "left_anti")
+    return minimal.join(marked.select("table_id", "cols").distinct(), ["table_id", "cols"], "left_semi")
+
+
+def merged_context_edges(edges: DataFrame, context: DataFrame, columns: DataFrame) -> DataFrame:
+    """Edges and those context edges of which both ends are unmatched so far, or have equal headers. columns: col_id, header."""
+    used = edges.select(F.col("l").alias("c")).union(edges.select("r")).distinct().withColumn("used", F.lit(True))
+    side = lambda x: columns.select(F.col("col_id").alias(x), F.col("header").alias(f"{x}_header")).join(used.select(F.col("c").alias(x), F.col("used").alias(f"{x}_used")), x, "left")
+    both = context.select("l", "r").join(side("l"), "l").join(side("r"), "r")
+    fine = both.where((F.col("l_used").isNull() & F.col("r_used").isNull()) | (F.col("l_header") == F.col("r_header")))
+    return edges.select("l", "r").unionByName(fine.select("l", "r")).distinct()
+
+
+def context_edges(columns: DataFrame) -> DataFrame:
+    """Edges between equal context headers of tables of one cluster. columns: table_id, col_id, header, cluster, is_context."""
+    c = columns.where("is_context")
+    b = c.select("cluster", "header", F.col("col_id").alias("r"), F.col("table_id").alias("r_table"))
+    return c.select("cluster", "header", F.col("col_id").alias("l"), F.col("table_id").alias("l_table")).join(b, ["cluster", "header"]).where("l_table < r_table").select("l", "r", "l_table", "r_table")
+
+
+def foreign_key_refined(edges: DataFrame, vector: DataFrame, columns: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Edges between context columns, of equal headers or not numeric stay; the others are scored anew on vectors of tokens with
+    their row's foreign key. columns: col_id, header, type, is_context."""
+    side = lambda x: columns.select(F.col("col_id").alias(x), F.col("header").alias(f"{x}_h"), F.col("type").alias(f"{x}_t"), F.col("is_context").alias(f"{x}_c"))
+    named = edges.select("l", "r", "score").join(side("l"), "l").join(side("r"), "r")
+    stay = (F.col("l_c") & F.col("r_c")) | F.col("l_h").eqNullSafe(F.col("r_h")) | (F.col("l_t") != "numeric")
+    again = vectors.rescored(named.where(~stay), vector, threshold)
+    return named.where(stay).select("l", "r", "score").unionByName(again)
+
+
+def foreign_key_tokens(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """(owner, token) with tokens of foreign key, type and value. keys: row_id, fk."""
+    typed = F.when(F.col("v").try_cast("double").isNotNull(), "numeric").otherwise("string")
+    return cells.join(keys, "row_id").select(F.col("col_id").alias("owner"), F.concat_ws("|", "fk", typed, "v").alias("token"))
+
+
+def cell_keys(cells: DataFrame, label_column: str) -> DataFrame:
+    """(row_id, key): the table and the label cell's value."""
+    return cells.where((F.col("col_id") == label_column) & F.col("v").isNotNull()).select("row_id", F.concat_ws("~", F.col("table_id").cast("string"), "v").alias("key"))
+
+
+def full_key_entities(cells: DataFrame, keys: DataFrame) -> DataFrame:
+    """(class, key, token, n): blocks of entities whose key's columns are all filled, by tokens of the key's values. cells: row_id,
+    class, property, v; keys: class, cols."""
+    k = keys.select("class", F.array_sort("cols").alias("cols"), F.array_join(F.array_sort("cols"), "+").alias("key"))
+    held = cells.where("v is not null").join(k, "class").where(F.expr("array_contains(cols, property)"))
+    rows = held.groupBy("class", "key", F.size("cols").alias("need"), "row_id").agg(F.array_sort(F.collect_set(F.struct("property", "v"))).alias("vs")).where("size(vs) = need")
+    entity = F.expr("array_join(transform(vs, x -> x.v), '~')")
+    blocks = rows.select("class", "key", entity.alias("entity")).distinct().withColumn("token", F.explode(F.array_distinct(text.tokens(F.col("entity")))))
+    return blocks.groupBy("class", "key", "token").agg(F.count("*").alias("n"))
+
+
+def matched(cells: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
+    """A matcher's edges, refined by pairs of headers, by graph and by transitivity: (l, r), all pairs of each component."""
+    from stitchwork.operators import graph
+
+    disjoint = graph.disjoint_headers(columns.select("table_id", "header"))
+    pairwise = pairwise_refined(edges, label_matches(columns), columns, disjoint)
+    return graph.closure_pairs(graph.refined(pairwise, columns, disjoint)).where("l < r")

@@ -121,3 +121,39 @@ def schema_strings(columns: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("header", F.lit("")).alias("h"), "is_context")))
     rows = columns.groupBy("table_id").agg(listed.alias("c"))
     return rows.select("table_id", F.expr("array_join(transform(c, x -> x.h), '+')").alias("schema"), F.expr("array_join(transform(filter(c, x -> not x.is_context), x -> x.h), '+')").alias("own_schema"))
+
+
+def clustered_union(tables: dict[str, DataFrame], clusters: dict[str, str]) -> dict[tuple[str, str], DataFrame]:
+    """Union tables within each cluster of tables, distinct rows only."""
+    out = {}
+    for cluster in sorted(set(clusters.values())):
+        members = {n: df for n, df in tables.items() if clusters[n] == cluster}
+        out.update({(cluster, schema): df.distinct() for schema, df in union_tables(members).items()})
+    return out
+
+
+def entity_groups(edges: DataFrame, columns: DataFrame) -> DataFrame:
+    """(table_id, entity): tables of a component of matching columns describe one entity type. columns: table_id, col_id."""
+    side = lambda x: columns.select(F.col("col_id").alias(x), F.col("table_id").alias(f"{x}_t"))
+    between = edges.select("l", "r").join(side("l"), "l").join(side("r"), "r").select(F.col("l_t").alias("l"), F.col("r_t").alias("r"))
+    found = graph.components(between)
+    return columns.select("table_id").distinct().join(found, F.col("table_id") == F.col("node"), "left").select("table_id", F.coalesce("component", "table_id").alias("entity"))
+
+
+def annotated(rows: DataFrame, links: DataFrame, kb: DataFrame, properties: list[str]) -> DataFrame:
+    """Rows (id, ...) with columns of the entities they are linked to. links: l, r; kb: id, property, value."""
+    wide = kb.where(F.col("property").isin(properties)).groupBy(F.col("id").alias("r")).agg(*(F.min(F.when(F.col("property") == p, F.col("value"))).alias(p) for p in properties))
+    return rows.join(links.select(F.col("l").alias("id"), "r"), "id", "left").join(wide, "r", "left").drop("r")
+
+
+def attribute_table_clusters(tables: DataFrame) -> DataFrame:
+    """(pair, n): pairs of attribute clusters that tables share, most tables first. tables: table_id, cluster."""
+    t = tables.distinct()
+    other = t.select(F.col("table_id").alias("t"), F.col("cluster").alias("c"))
+    pairs = t.join(other, (F.col("table_id") == F.col("t")) & (F.col("cluster") < F.col("c")))
+    return pairs.groupBy(F.concat_ws("+", "cluster", "c").alias("pair")).agg(F.count("*").alias("n"))
+
+
+def translated_rows(ids: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, target): each id's last target. mapping: id, target, pos."""
+    return ids.join(mapping, "id").groupBy("id").agg(F.max_by("target", "pos").alias("target"))
