@@ -102,36 +102,40 @@ def weak_closure(attrs: Iterable[str], fds: Fds, together: Callable[[Attrs], boo
     return frozenset(known)
 
 
-def is_super_key(attrs: Iterable[str], schema: Attrs, fds: Fds) -> bool:
-    return closure(attrs, fds) >= schema
+#: How a closure is taken: closure itself, or one of the others with their further arguments bound.
+Closure = Callable[[Iterable[str], Fds], Attrs]
 
 
-def minimal_key(attrs: Iterable[str], schema: Attrs, fds: Fds) -> Attrs:
+def is_super_key(attrs: Iterable[str], schema: Attrs, fds: Fds, close: Closure = closure) -> bool:
+    return close(attrs, fds) >= schema
+
+
+def minimal_key(attrs: Iterable[str], schema: Attrs, fds: Fds, close: Closure = closure) -> Attrs:
     key = set(attrs)
     for a in sorted(attrs):
-        if is_super_key(key - {a}, schema, fds):
+        if is_super_key(key - {a}, schema, fds, close):
             key.discard(a)
     return frozenset(key)
 
 
-def candidate_keys(schema: Iterable[str], fds: Fds, excluded: Iterable[str] = ()) -> list[Attrs]:
+def candidate_keys(schema: Iterable[str], fds: Fds, excluded: Iterable[str] = (), close: Closure = closure) -> list[Attrs]:
     """All minimal keys, each found from another one and a dependency. With excluded columns, keys without them."""
     schema, excluded = frozenset(schema), frozenset(excluded)
-    if not is_super_key(schema - excluded, schema, fds):
+    if not is_super_key(schema - excluded, schema, fds, close):
         return []
-    found = [minimal_key(schema - excluded, schema, fds)]
+    found = [minimal_key(schema - excluded, schema, fds, close)]
     for key in found:
         for det, dep in in_order(fds):
             new = det | (key - dep)
-            if not new & excluded and not any(k <= new for k in found):
-                found.append(minimal_key(new, schema, fds))
+            if not new & excluded and not any(k <= new for k in found) and is_super_key(new, schema, fds, close):
+                found.append(minimal_key(new, schema, fds, close))
     return sorted(found, key=lambda k: (len(k), sorted(k)))
 
 
-def reduce_left(det: Attrs, dep: Attrs, fds: Fds) -> Attrs:
+def reduce_left(det: Attrs, dep: Attrs, fds: Fds, close: Closure = closure) -> Attrs:
     """The determinant without attributes that the others imply."""
     for a in sorted(det):
-        if dep <= closure(det - {a}, fds):
+        if dep <= close(det - {a}, fds):
             det = det - {a}
     return det
 
@@ -148,21 +152,21 @@ def canonical_cover(fds: Fds, focus: frozenset = frozenset()) -> Fds:
     return make((det, [a]) for det, a in kept)
 
 
-def minimised(fds: Fds) -> Fds:
-    return make((reduce_left(det, frozenset([a]), fds), [a]) for det, a in split(fds) if a not in det)
+def minimised(fds: Fds, close: Closure = closure) -> Fds:
+    return make((reduce_left(det, frozenset([a]), fds, close), [a]) for det, a in split(fds) if a not in det)
 
 
-def all_closures(fds: Fds) -> Fds:
+def all_closures(fds: Fds, close: Closure = closure) -> Fds:
     """G10."""
-    return {det: closure(det, fds) for det in fds}
+    return {det: close(det, fds) for det in fds}
 
 
-def implies(left: Fds, right: Fds) -> bool:
-    return all(dep <= closure(det, left) for det, dep in right.items())
+def implies(left: Fds, right: Fds, close: Closure = closure) -> bool:
+    return all(dep <= close(det, left) for det, dep in right.items())
 
 
-def equivalent(left: Fds, right: Fds) -> bool:
-    return implies(left, right) and implies(right, left)
+def equivalent(left: Fds, right: Fds, close: Closure = closure) -> bool:
+    return implies(left, right, close) and implies(right, left, close)
 
 
 def not_in(left: Fds, right: Fds) -> Fds:
