@@ -9,7 +9,7 @@ but need-1 of them: passages that many documents share make no long lists.
 A list is worked off by hubs, never by all its pairs at once: in each round some members are compared with all others of the list that
 are not yet in their component, and leave the list; lists shrink to members of different components, and end when one is left. So no
 link between different texts is lost, and a group of thousands of near copies costs a few comparisons a member. Candidates must share
-enough of the union's sketch, and what is left is confirmed on the full sets of words themselves.
+enough of the K smallest values of their union, and what is left is confirmed on the full sets of hashes.
 
 Lower case is for A-Z only. With fewer than five words, the whole sequence is the only shingle; without words (or for a null or empty
 text) the set is empty, linked with nothing, and the document is kept. Equal texts have equal sets. doc_id identifies a row; rows with a
@@ -18,8 +18,6 @@ null doc_id are linked with nothing and not kept. An empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +32,12 @@ SHINGLE, PERCENT = 5, 75
 K = 64
 #: Least values of two sketches of K values that documents at the threshold share: 48 less 5.5 standard deviations.
 NEED = 29
-#: Lists of so many members of different components or fewer are compared pair by pair; of longer ones, HUBS members a round.
+#: Lists of so many members of different components or fewer are compared pair by pair; of longer ones, HUBS members, and
+#: in each round four times as many.
 SHORT_LIST, HUBS = 24, 16
+#: Members of a list on either side of a tile of pairs.
+TILE = 256
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_CAPITALS = {c: c + 32 for c in range(65, 91)}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -104,6 +102,11 @@ def need(n: Column) -> Column:
     return F.when(n < K * PERCENT // 100, F.ceil(n * PERCENT / 100)).otherwise(NEED)
 
 
+def least_shared(n: int) -> int:
+    """The same, of a number."""
+    return -(-n * PERCENT // 100) if n < K * PERCENT // 100 else NEED
+
+
 def prefixes(reps: DataFrame) -> DataFrame:
     """value, doc_id, n: each document in the lists of its rarest shared values."""
     values = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("value"))
@@ -113,52 +116,101 @@ def prefixes(reps: DataFrame) -> DataFrame:
     return shared.where(enter > 0).select("doc_id", "n", F.explode(F.slice("shared", F.lit(1), enter.cast("int"))).alias("s")).select("s.value", "doc_id", "n")
 
 
-@functools.lru_cache(maxsize=32)
-def exact_set(text: str) -> frozenset:
-    w = _WORD.findall(text.translate(_CAPITALS))
-    return frozenset(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else frozenset([tuple(w)] if w else [])
-
+def full_sets(texts: DataFrame) -> DataFrame:
+    """doc_id, shingles (sorted, signed numbers of the order of the hashes) of doc_id, text."""
+    kind = dict(texts.dtypes)["doc_id"]
 
-def linked(a: str, b: str) -> bool:
-    x, y = exact_set(a), exact_set(b)
-    both = len(x & y)
-    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                sets = list(shingle_sets(common.texts(part.column("text"))))
+                values = (np.concatenate(sets) ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32()), pa.array(values))], ["doc_id", "shingles"])
+
+    return common.map_arrow(texts, run, f"doc_id {kind}, shingles array<long>")
+
+
+def linked(sets: list[np.ndarray], pairs: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
+    """Of pairs (place: places) of sorted sets those that are linked: first by what is in both among the K smallest of their union, then
+    by the sets themselves."""
+    terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(terms, np.cumsum([len(s) for s in sets])[:-1])
+    rank = np.full(int(terms.max(initial=0)) + 1, -1)
+    for a, others in pairs.items():
+        rank[own[a]] = np.arange(len(own[a]))
+        for b in others:
+            x, y = len(own[a]), len(own[b])
+            if 100 * min(x, y) < PERCENT * max(x, y):
+                continue
+            low = rank[own[b][:K]]
+            at = np.flatnonzero((low >= 0) & (low < K))
+            # place in the union: those before it in either, once if in both
+            both = int((low[at] + at - np.arange(len(at)) < K).sum())
+            if both < least_shared(max(x, y)):
+                continue
+            both = int((rank[own[b]] >= 0).sum())
+            if 100 * both >= PERCENT * (x + y - both):
+                yield a, b
+        rank[own[a]] = -1
 
 
 def confirmed(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. chosen: doc_id, sketch, text of all candidates."""
+    """The pairs (a, b) that are linked. chosen: doc_id, shingles of all candidates.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yes = [linked(x, y) for x, y in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
-    side = lambda x, column: chosen.select(F.col("doc_id").alias(f"{x}_id"), F.col(column).alias(f"{x}_{column}"))
-    sketched = pairs.join(side("a", "sketch"), F.col("a") == F.col("a_id")).join(side("b", "sketch"), F.col("b") == F.col("b_id"))
-    # of the union's K smallest values, how many are in both
-    union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, K)
-    both = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch")))
-    likely = both >= F.when(F.size(union) < K, F.ceil(F.size(union) * PERCENT / 100)).otherwise(NEED)
-    worth = sketched.where(likely).select("a", "b")
-    texts = worth.join(side("a", "text"), F.col("a") == F.col("a_id")).join(side("b", "text"), F.col("b") == F.col("b_id")).select("a", "b", "a_text", "b_text")
+    The pairs of a list are dealt out in tiles of some of its members against some, so that a member's set goes to a tile once and not to
+    each of its pairs, and a tile's sets fit in memory however long the list.
+    """
     kind = dict(pairs.dtypes)["a"]
-    return common.map_arrow(texts, run, f"a {kind}, b {kind}")
+    part = lambda x: F.pmod(F.xxhash64(F.col(x), F.lit(1)), F.col("parts"))
+    tiled = pairs.withColumn("parts", F.ceil(F.col("m") / TILE)).select(F.xxhash64("value", part("a"), part("b")).alias("tile"), "a", "b")
+    members = tiled.select("tile", F.col("a").alias("doc")).union(tiled.select("tile", F.col("b").alias("doc"))).distinct()
+    sets = members.join(chosen, F.col("doc") == F.col("doc_id")).select("tile", F.col("doc").alias("a"), F.lit(None).cast(kind).alias("b"), "shingles")
+    rows = sets.unionByName(tiled.withColumn("shingles", F.lit(None).cast("array<long>")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, sets, wanted, tile = {}, [], {}, None
 
-def candidate_pairs(lists: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of this round, and the hubs (value, doc_id) that leave their lists. lists: value, doc_id, n, component.
+        def result() -> pa.RecordBatch:
+            ids = list(numbers)
+            found = list(linked(sets, wanted)) if wanted else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], id_type), pa.array([ids[b] for _, b in found], id_type)], ["a", "b"])
 
-    At first one hub a list, then all pairs of short lists and HUBS hubs of long ones.
+        for batch in batches:
+            id_type = batch.schema.field("a").type
+            shingles = batch.column("shingles")
+            flat, offsets = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
+            for i, (t, a, b) in enumerate(zip(batch.column("tile").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                if t != tile:
+                    if wanted:
+                        yield result()
+                    numbers, sets, wanted, tile = {}, [], {}, t
+                if b is None:
+                    numbers[a] = len(sets)
+                    sets.append(flat[offsets[i] : offsets[i + 1]].copy())
+                else:
+                    wanted.setdefault(numbers[a], []).append(numbers[b])
+        if wanted:
+            yield result()
+
+    return common.map_arrow(rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()), run, f"a {kind}, b {kind}")
+
+
+def candidate_pairs(lists: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b; value and size m of a list that has them) of this round, and the hubs (value, doc_id) that leave their lists.
+    lists: value, doc_id, n, component.
+
+    At first one hub a list, then all members of short lists and HUBS of long ones, in each round four times as many.
     """
-    sizes = lists.groupBy("value").agg(F.count("*").alias("m"))
-    sized = lists.join(sizes.withColumnRenamed("value", "v"), F.col("value") == F.col("v"))
+    sizes = lists.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("m"))
+    sized = lists.join(sizes, F.col("value") == F.col("v")).drop("v")
     # the same members are hubs of all lists that they are in, so far as these are alike
     order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n", "component")
-    salt = F.lit(0) if first else F.when(F.col("m") <= SHORT_LIST, F.col("doc_id").cast("string")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(HUBS)).cast("string"))
-    hubs = sized.groupBy("value", salt.alias("salt")).agg(F.min(order).alias("hub")).select(F.col("value").alias("v"), "hub")
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(HUBS * 4 ** (step - 2))) if step > 1 else F.lit(0)
+    salt = F.when((F.col("m") <= SHORT_LIST) & F.lit(step > 1), F.xxhash64("doc_id")).otherwise(some)
+    hubs = sized.groupBy("value", "m", salt.alias("salt")).agg(F.min(order).alias("hub")).select(F.col("value").alias("v"), "m", "hub")
     alike = (4 * F.least("n", "hub.n") >= 3 * F.greatest("n", "hub.n")) & (F.col("component") != F.col("hub.component"))
     met = lists.join(hubs, (F.col("value") == F.col("v")) & alike)
-    pairs = met.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+    pairs = met.groupBy(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).agg(F.min(F.struct("value", "m")).alias("list")).select("a", "b", "list.*")
     return pairs, hubs.select(F.col("v").alias("value"), F.col("hub.doc_id").alias("doc_id"))
 
 
@@ -182,12 +234,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = unfinished(lists)
     ids = common.stored(lists.select("doc_id").distinct(), f"{work}/chosen-ids")
     texts = common.matching(common.renamed(docs, {"doc_id": id_col, "text": text_col}), ids, "doc_id", True)
-    chosen = common.stored(texts.join(common.matching(all_.select("doc_id", "sketch"), ids, "doc_id", True), "doc_id"), f"{work}/chosen")
+    chosen = common.stored(full_sets(texts).dropDuplicates(["doc_id"]), f"{work}/chosen")
     labels = ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
     lists = common.stored(lists, f"{work}/lists-1")
     step = 1
     while not lists.isEmpty():
-        pairs, hubs = candidate_pairs(lists, step == 1)
+        pairs, hubs = candidate_pairs(lists, step)
         pairs, hubs = common.stored(pairs, f"{work}/pairs-{step}"), common.stored(hubs, f"{work}/hubs-{step}")
         links = common.stored(confirmed(pairs, chosen), f"{work}/links-{step}")
         here = F.col("node")
