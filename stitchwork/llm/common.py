@@ -78,5 +78,5 @@ def matching(rows: DataFrame, keys: DataFrame, on: str, keep: bool) -> DataFrame
     """The rows whose id is among the keys (keep), or is not. The keys are broadcast only after a count shows that they stay
     below BROADCAST_BYTES; more of them meet the rows by a shuffle."""
     how = "left_semi" if keep else "left_anti"
-    small = keys.limit(BROADCAST_BYTES // 16 + 1).count() <= BROADCAST_BYTES // 16
+    small = keys.count() * 16 <= BROADCAST_BYTES
     return rows.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), on, how)

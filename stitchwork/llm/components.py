@@ -18,6 +18,8 @@ def connected(links: DataFrame, work: str) -> DataFrame:
     """
     both = links.select("a", "b").where("a is not null and b is not null and a != b")
     edges = common.stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{work}/edges-0")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = common.stored(edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), f"{work}/labels-0")
     step = 0
     while not edges.isEmpty():

@@ -6,10 +6,10 @@ with a Jaccard similarity of 0.75 share at least `need` values of their sketches
 29 of 64 where 48 are expected, under one miss in ten million), so that each document enters only the lists of its rarest values, all
 but need-1 of them: passages that many documents share make no long lists.
 
-A list is worked off by hubs, never by all its pairs at once: in each round some members are compared with all others of the list that
-are not yet in their component, and leave the list; lists shrink to members of different components, and end when one is left. So no
-link between different texts is lost, and a group of thousands of near copies costs a few comparisons a member. Candidates must share
-enough of the K smallest values of their union, and what is left is confirmed on the full sets of hashes.
+The pairs of short lists are candidates. Of long lists no pairs are made: documents gather at their longest list, and those that gather
+at one are compared with those at another if the two have a document in common, in tiles of some against some, which give back only
+links enough to join what is linked. So no link between different texts is lost. Candidates must share enough of the K smallest values of
+their union, and what is left is confirmed on the full sets of hashes.
 
 Lower case is for A-Z only. With fewer than five words, the whole sequence is the only shingle; without words (or for a null or empty
 text) the set is empty, linked with nothing, and the document is kept. Equal texts have equal sets. doc_id identifies a row; rows with a
@@ -32,10 +32,9 @@ SHINGLE, PERCENT = 5, 75
 K = 64
 #: Least values of two sketches of K values that documents at the threshold share: 48 less 5.5 standard deviations.
 NEED = 29
-#: Lists of so many members of different components or fewer are compared pair by pair; of longer ones, HUBS members, and
-#: in each round four times as many.
-SHORT_LIST, HUBS = 24, 16
-#: Members of a list on either side of a tile of pairs.
+#: The most members of a short list.
+SHORT_LIST = 24
+#: Documents on either side of a tile, about.
 TILE = 256
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,94 +129,127 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return common.map_arrow(texts, run, f"doc_id {kind}, shingles array<long>")
 
 
-def linked(sets: list[np.ndarray], pairs: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
-    """Of pairs (place: places) of sorted sets those that are linked: first by what is in both among the K smallest of their union, then
-    by the sets themselves."""
-    terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    own = np.split(terms, np.cumsum([len(s) for s in sets])[:-1])
-    rank = np.full(int(terms.max(initial=0)) + 1, -1)
-    for a, others in pairs.items():
-        rank[own[a]] = np.arange(len(own[a]))
-        for b in others:
-            x, y = len(own[a]), len(own[b])
-            if 100 * min(x, y) < PERCENT * max(x, y):
-                continue
-            low = rank[own[b][:K]]
-            at = np.flatnonzero((low >= 0) & (low < K))
-            # place in the union: those before it in either, once if in both
-            both = int((low[at] + at - np.arange(len(at)) < K).sum())
-            if both < least_shared(max(x, y)):
-                continue
-            both = int((rank[own[b]] >= 0).sum())
-            if 100 * both >= PERCENT * (x + y - both):
+class Sets:
+    """Some documents' shingles as small numbers, in the order of their hashes, in one array."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        # sketches: the first K of each set
+        self.low_sizes = np.minimum(self.sizes, K)
+        self.low_starts = np.cumsum(self.low_sizes) - self.low_sizes
+        self.low = self.terms[words.ragged(self.starts, self.low_sizes)]
+        self.low_place = words.ragged(np.zeros(len(sets), np.int64), self.low_sizes)
+        self.rank = np.full(int(self.terms.max()) + 1, -1)
+        self.least = np.array([least_shared(n) for n in self.sizes.tolist()])
+
+    def linked(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that a is linked with: enough of the K smallest of the union in both, and then of the sets themselves."""
+        own = self.terms[self.starts[a] : self.starts[a] + self.sizes[a]]
+        x, y = self.sizes[a], self.sizes[others]
+        others = others[100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)]
+        if not len(others):
+            return others
+        self.rank[own] = np.arange(len(own))
+        n = self.low_sizes[others]
+        at = words.ragged(self.low_starts[others], n)
+        rank = self.rank[self.low[at]]
+        common = (rank >= 0) & (rank < K)
+        heads = np.cumsum(n) - n
+        before = np.cumsum(common) - common
+        # place in the union: those before in either, less those in both
+        place = rank + self.low_place[at] - (before - np.repeat(before[heads], n))
+        likely = np.add.reduceat(common & (place < K), heads) >= np.maximum(self.least[a], self.least[others])
+        others = others[likely]
+        if len(others):
+            n = self.sizes[others]
+            both = np.add.reduceat(self.rank[self.terms[words.ragged(self.starts[others], n)]] >= 0, np.cumsum(n) - n)
+            others = others[100 * both >= PERCENT * (x + n - both)]
+        self.rank[own] = -1
+        return others
+
+
+def forest(sets: list[np.ndarray], first: int) -> Iterator[tuple[int, int]]:
+    """Links enough to join what is linked: of the first sets with all the others, or among all of them if there are no others."""
+    found, component = Sets(sets), np.arange(len(sets))
+    for a in range(first):
+        rest = np.arange(first if first < len(sets) else a + 1, len(sets))
+        for b in found.linked(a, rest[component[rest] != component[a]]).tolist():
+            if component[a] != component[b]:
+                component[component == component[b]] = component[a]
                 yield a, b
-        rank[own[a]] = -1
 
 
-def confirmed(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. chosen: doc_id, shingles of all candidates.
-
-    The pairs of a list are dealt out in tiles of some of its members against some, so that a member's set goes to a tile once and not to
-    each of its pairs, and a tile's sets fit in memory however long the list.
-    """
-    kind = dict(pairs.dtypes)["a"]
-    part = lambda x: F.pmod(F.xxhash64(F.col(x), F.lit(1)), F.col("parts"))
-    tiled = pairs.withColumn("parts", F.ceil(F.col("m") / TILE)).select(F.xxhash64("value", part("a"), part("b")).alias("tile"), "a", "b")
-    members = tiled.select("tile", F.col("a").alias("doc")).union(tiled.select("tile", F.col("b").alias("doc"))).distinct()
-    sets = members.join(chosen, F.col("doc") == F.col("doc_id")).select("tile", F.col("doc").alias("a"), F.lit(None).cast(kind).alias("b"), "shingles")
-    rows = sets.unionByName(tiled.withColumn("shingles", F.lit(None).cast("array<long>")))
+def dealt(rows: DataFrame, kind: str) -> DataFrame:
+    """Links (a, b) found tile by tile. rows: tile, a, b, side, shingles: sets of documents a (side 0 or 1; b null) or pairs (side 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, sets, wanted, tile = {}, [], {}, None
+        sides, wanted, tile, id_type = ({}, {}), [], None, None
 
         def result() -> pa.RecordBatch:
-            ids = list(numbers)
-            found = list(linked(sets, wanted)) if wanted else []
+            numbers = {d: i for i, d in enumerate(sides[0] | sides[1])}
+            ids, sets = list(numbers), [*sides[0].values(), *sides[1].values()]
+            if wanted:
+                partners: dict[int, list[int]] = {}
+                for a, b in wanted:
+                    partners.setdefault(numbers[a], []).append(numbers[b])
+                compared = Sets(sets)
+                found = [(a, b) for a, others in partners.items() for b in compared.linked(a, np.array(others)).tolist()]
+            else:
+                found = list(forest(sets, len(sides[0]))) if sides[0] else []
             return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], id_type), pa.array([ids[b] for _, b in found], id_type)], ["a", "b"])
 
         for batch in batches:
             id_type = batch.schema.field("a").type
             shingles = batch.column("shingles")
             flat, offsets = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
-            for i, (t, a, b) in enumerate(zip(batch.column("tile").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            for i, (t, a, b, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "a", "b", "side")), strict=True)):
                 if t != tile:
-                    if wanted:
+                    if tile is not None:
                         yield result()
-                    numbers, sets, wanted, tile = {}, [], {}, t
-                if b is None:
-                    numbers[a] = len(sets)
-                    sets.append(flat[offsets[i] : offsets[i + 1]].copy())
+                    sides, wanted, tile = ({}, {}), [], t
+                if side < 2:
+                    sides[side][a] = flat[offsets[i] : offsets[i + 1]].copy()
                 else:
-                    wanted.setdefault(numbers[a], []).append(numbers[b])
-        if wanted:
+                    wanted.append((a, b))
+        if tile is not None:
             yield result()
 
-    return common.map_arrow(rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()), run, f"a {kind}, b {kind}")
+    return common.map_arrow(rows.repartition("tile").sortWithinPartitions("tile", "side"), run, f"a {kind}, b {kind}")
 
 
-def candidate_pairs(lists: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b; value and size m of a list that has them) of this round, and the hubs (value, doc_id) that leave their lists.
-    lists: value, doc_id, n, component.
+def short_links(lists: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Links (a, b) from the pairs of short lists, each pair looked at once. lists: value, doc_id, n; chosen: doc_id, shingles."""
+    kind = dict(lists.dtypes)["doc_id"]
+    other = lists.select(F.col("value").alias("v"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
+    alike = (F.col("value") == F.col("v")) & (F.col("doc_id") < F.col("b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
+    pairs = lists.join(other, alike).groupBy(F.col("doc_id").alias("a"), "b").agg(F.min("value").alias("tile"))
+    members = pairs.select("tile", "a").union(pairs.select("tile", "b")).distinct()
+    sets = members.join(chosen, F.col("a") == F.col("doc_id")).select("tile", "a", F.lit(None).cast(kind).alias("b"), F.lit(0).alias("side"), "shingles")
+    return dealt(sets.unionByName(pairs.select("tile", "a", "b", F.lit(2).alias("side"), F.lit(None).cast("array<long>").alias("shingles"))), kind)
 
-    At first one hub a list, then all members of short lists and HUBS of long ones, in each round four times as many.
-    """
-    sizes = lists.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("m"))
-    sized = lists.join(sizes, F.col("value") == F.col("v")).drop("v")
-    # the same members are hubs of all lists that they are in, so far as these are alike
-    order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n", "component")
-    some = F.pmod(F.xxhash64("doc_id"), F.lit(HUBS * 4 ** (step - 2))) if step > 1 else F.lit(0)
-    salt = F.when((F.col("m") <= SHORT_LIST) & F.lit(step > 1), F.xxhash64("doc_id")).otherwise(some)
-    hubs = sized.groupBy("value", "m", salt.alias("salt")).agg(F.min(order).alias("hub")).select(F.col("value").alias("v"), "m", "hub")
-    alike = (4 * F.least("n", "hub.n") >= 3 * F.greatest("n", "hub.n")) & (F.col("component") != F.col("hub.component"))
-    met = lists.join(hubs, (F.col("value") == F.col("v")) & alike)
-    pairs = met.groupBy(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).agg(F.min(F.struct("value", "m")).alias("list")).select("a", "b", "list.*")
-    return pairs, hubs.select(F.col("v").alias("value"), F.col("hub.doc_id").alias("doc_id"))
 
+def long_links(lists: DataFrame, chosen: DataFrame, work: str) -> DataFrame:
+    """Links (a, b) enough to join what is linked in long lists, without making their pairs. lists: value, doc_id, n, m (the list's size).
 
-def unfinished(lists: DataFrame) -> DataFrame:
-    """The members of lists with more than one component."""
-    open_ = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("value").alias("v"))
-    return lists.join(open_, F.col("value") == F.col("v"), "left_semi")
+    A document's home is its longest list. Homes that meet in a list are compared, all members of one with all of the other, in tiles of
+    some members against some: few homes stand for many lists that have mostly the same members.
+    """
+    kind = dict(lists.dtypes)["doc_id"]
+    homes = lists.groupBy("doc_id").agg(F.max(F.struct("m", "value")).getField("value").alias("home"))
+    sizes = homes.groupBy(F.col("home").alias("h")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    homes = common.stored(homes.join(sizes, F.col("home") == F.col("h")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")).drop("h"), f"{work}/homes")
+    met = lists.select("value", "doc_id").join(homes, "doc_id").select("value", "home", "parts").distinct()
+    other = met.select(F.col("value").alias("v"), F.col("home").alias("home_b"), F.col("parts").alias("parts_b"))
+    meet = common.stored(met.join(other, (F.col("value") == F.col("v")) & (F.col("home") <= F.col("home_b"))).select(F.col("home").alias("home_a"), F.col("parts").alias("parts_a"), "home_b", "parts_b").distinct(), f"{work}/meet")
+    same = F.col("home_a") == F.col("home_b")
+    left = homes.join(meet, F.col("home") == F.col("home_a")).withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(0), F.col("parts_b") - 1)))
+    right = homes.join(meet, F.col("home") == F.col("home_b")).withColumn("j", F.col("part")).withColumn("i", F.explode(F.expr("sequence(0, if(home_a = home_b, j, parts_a - 1))")))
+    tile = F.xxhash64("home_a", "home_b", "i", "j").alias("tile")
+    members = left.select(tile, F.col("doc_id").alias("a"), F.lit(0).alias("side")).union(right.where("not (home_a = home_b and i >= j)").select(tile, F.col("doc_id").alias("a"), F.lit(1).alias("side")))
+    sets = members.join(chosen, F.col("a") == F.col("doc_id")).select("tile", "a", F.lit(None).cast(kind).alias("b"), "side", "shingles")
+    return dealt(sets, kind)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,27 +262,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     membership = common.stored(membership.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), f"{work}/membership")
     copies = membership.where("doc_id != rep").select("doc_id").distinct()
     reps = common.matching(all_.where("n_shingles > 0 and doc_id is not null"), copies, "doc_id", False)
-    lists = common.stored(prefixes(reps).withColumn("component", F.col("doc_id")), f"{work}/lists-0")
-    lists = unfinished(lists)
+    lists = common.stored(prefixes(reps), f"{work}/prefixes")
+    lengths = lists.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("m")).where("m > 1")
+    lists = common.stored(lists.join(lengths, F.col("value") == F.col("v")).drop("v"), f"{work}/lists")
     ids = common.stored(lists.select("doc_id").distinct(), f"{work}/chosen-ids")
     texts = common.matching(common.renamed(docs, {"doc_id": id_col, "text": text_col}), ids, "doc_id", True)
     chosen = common.stored(full_sets(texts).dropDuplicates(["doc_id"]), f"{work}/chosen")
-    labels = ids.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
-    lists = common.stored(lists, f"{work}/lists-1")
-    step = 1
-    while not lists.isEmpty():
-        pairs, hubs = candidate_pairs(lists, step)
-        pairs, hubs = common.stored(pairs, f"{work}/pairs-{step}"), common.stored(hubs, f"{work}/hubs-{step}")
-        links = common.stored(confirmed(pairs, chosen), f"{work}/links-{step}")
-        here = F.col("node")
-        of = lambda x: labels.select(here.alias(f"{x}_node"), F.col("component").alias(f"{x}_component"))  # noqa: B023, E731
-        ends = links.join(of("a"), F.col("a") == F.col("a_node")).join(of("b"), F.col("b") == F.col("b_node")).select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
-        merged = components.connected(ends, f"{work}/components-{step}").select(F.col("node").alias("was"), F.col("component").alias("now"))
-        labels = common.stored(labels.join(merged, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")), f"{work}/labels-{step}")
-        rest = lists.join(hubs, ["value", "doc_id"], "left_anti").join(merged, F.col("component") == F.col("was"), "left")
-        rest = rest.select("value", "doc_id", "n", F.coalesce("now", "component").alias("component"))
-        step += 1
-        lists = common.stored(unfinished(common.stored(rest, f"{work}/rest-{step}")), f"{work}/lists-{step}")
+    links = short_links(lists.where(F.col("m") <= SHORT_LIST), chosen).unionByName(long_links(lists.where(F.col("m") > SHORT_LIST), chosen, work))
+    labels = components.connected(common.stored(links, f"{work}/links"), f"{work}/components")
     return membership.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -197,10 +197,10 @@ def near_fixture():
     return [(i + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("short_list, hubs", [(24, 16), (2, 3)])
-def test_near_classes_are_brute_force(spark, hard, nothing, documents, monkeypatch, short_list, hubs):
+@pytest.mark.parametrize("short_list, tile", [(24, 256), (2, 7), (1000, 256)])
+def test_near_classes_are_brute_force(spark, hard, nothing, documents, monkeypatch, short_list, tile):
     monkeypatch.setattr(near_dedup, "SHORT_LIST", short_list)
-    monkeypatch.setattr(near_dedup, "HUBS", hubs)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     near = [(1000 + i, t) for i, t in near_fixture()]
     docs = hard.unionByName(spark.createDataFrame(near, "doc_id long, text string"), allowMissingColumns=True)
     rows = near_dedup.near_classes(docs).collect()
