@@ -84,7 +84,8 @@ class Ledger:
         work = common.work_dir(self.spark)
         rows = common.stored(addressed.select("path", "version", "blob"), f"{work}/rows")
         # of the rows with a blob that the ledger does not have, one lends its text
-        unseen = rows.join(self.findings().select("blob"), "blob", "left_anti").groupBy("blob").agg(F.min(F.struct("path", "version")).alias("row"))
+        lenders = rows.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("row"))
+        unseen = lenders.join(self.findings().select("blob"), "blob", "left_anti")
         lent = unseen.select(F.col("row.path").alias("p"), F.col("row.version").alias("v"), F.col("blob").alias("b"))
         one = F.col("path").eqNullSafe(F.col("p")) & F.col("version").eqNullSafe(F.col("v")) & (F.col("blob") == F.col("b"))
         blobs = addressed.join(lent.hint("shuffle_hash"), one, "left_semi")
