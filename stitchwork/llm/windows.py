@@ -10,8 +10,9 @@ WINDOW = 200
 #: Bytes of a sampled suffix that its key covers; each window holds WINDOW - GRAM + 1 such grams and samples the one of least hash.
 GRAM = 64
 GRAMS = WINDOW - GRAM + 1
-#: Window starts that are worked on at once; positions among them have POSITION_BITS in a sampling key.
-BLOCK, POSITION_BITS = 1 << 22, 23
+#: Window starts that are worked on at once, few enough for their hashes to stay in a core's cache; positions among them have
+#: POSITION_BITS in a sampling key.
+BLOCK, POSITION_BITS = 1 << 16, 17
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -23,11 +24,10 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window start the hash of its first GRAM bytes, and of all its WINDOW bytes. The former go on to the last gram's start."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    h = np.zeros(n - 7, np.uint64)
-    for i in range(8):
-        h |= padded[i : n - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    n = len(data) - 7
+    h = np.empty(n, np.uint64)
+    for i in range(8):  # the eight bytes from each place on
+        h[i::8] = np.frombuffer(data, "<u8", (n - i + 7) // 8, i)
     for half in (8, 16, 32):
         h = joined(h[:-half], h[half:])
     grams = h
@@ -65,8 +65,11 @@ def suffixes(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         grams, whole = hashes(piece)
         at = sampled(grams)
         place = np.arange(len(at)) + begin
-        row = np.searchsorted(starts, place, side="right") - 1
-        inside = place + WINDOW <= ends[row]
+        # the documents of the block, each with its windows' places in it (empty documents have none)
+        some = slice(np.searchsorted(ends, begin, side="right"), np.searchsorted(starts, begin + len(at)))
+        n = np.minimum(ends[some], begin + len(at)) - np.maximum(starts[some], begin)
+        row = np.repeat(np.arange(some.start, some.stop), n)
+        inside = place <= np.repeat(ends[some] - WINDOW, n)
         head = inside.copy()
         head[1:] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
         low = np.flatnonzero(head)
