@@ -17,7 +17,9 @@ alone decide. Other columns are left out, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stitchwork.llm import common
@@ -38,27 +40,26 @@ SCALE = 1_000_000
 def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, words."""
     named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
-    trimmed = F.btrim("text", F.lit(SPACES))
-    return named.withColumn("words", F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
-
-
-def char_count(column: str, without: str) -> Column:
-    return F.char_length(F.translate(column, without, ""))
+    # plain replacements and a split at one character are far cheaper than a pattern
+    blanks = reduce(lambda c, space: F.replace(c, F.lit(space), F.lit(" ")), SPACES[1:], F.col("text"))
+    return named.withColumn("words", F.array_remove(F.split(blanks, " "), ""))
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the base rules' columns for each row."""
+    """doc_id and the base rules' columns for each row. Windows are told apart by a 64-bit hash of their words' 64-bit hashes."""
     has_word = lambda line: F.btrim(line, F.lit(SPACES)) != ""
     counted = with_words(docs, id_col, text_col).withColumns({"n_words": F.size("words"), "lines": F.filter(F.split("text", "\n"), has_word)})
-    # windows with all hashes different are all different: only other documents' windows are sorted and compared themselves
-    hashes = F.when(F.col("n_words") >= 3, F.expr("transform(sequence(1, n_words - 2), i -> xxhash64(words[i - 1], words[i], words[i + 1]))"))
-    windows = F.expr("array_sort(transform(sequence(1, n_words - 2), i -> struct(concat_ws(' ', words[i - 1], words[i], words[i + 1]) as w, i as i)))")
-    again = F.expr("transform(filter(transform(windows, (x, k) -> struct(x.i as i, x.w = get(windows, k - 1).w or x.w = get(windows, k + 1).w as twice)), x -> x.twice), x -> x.i)")
+    hashed = counted.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    windows = F.when(F.col("n_words") >= 3, F.expr("transform(sequence(1, n_words - 2), i -> xxhash64(hashed[i - 1], hashed[i], hashed[i + 1]))"))
+    # only where hashes repeat, windows are sorted: equal ones are then neighbours
+    in_order = F.sort_array(F.expr("transform(windows, (h, i) -> struct(h as h, i as i))"))
+    again = F.expr("transform(filter(transform(in_order, (x, k) -> struct(x.i as i, x.h = get(in_order, k - 1).h or x.h = get(in_order, k + 1).h as twice)), x -> x.twice), x -> x.i)")
     covered = F.size(F.array_union("again", F.array_union(F.transform("again", lambda i: i + 1), F.transform("again", lambda i: i + 2))))
-    found = counted.withColumn("hashes", hashes).withColumn("windows", F.when(F.size("hashes") > F.size(F.array_distinct("hashes")), windows)).withColumn("again", again)
+    found = hashed.withColumn("windows", windows).withColumn("in_order", F.when(F.size("windows") > F.size(F.array_distinct("windows")), in_order)).withColumn("again", again)
+    plain = reduce(lambda c, symbol: F.replace(c, F.lit(symbol), F.lit("")), SYMBOLS, F.col("text"))
     columns = found.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), char_count("text", SPACES).cast("long").alias("word_chars"),
-        (F.char_length("text") - char_count("text", SYMBOLS)).cast("long").alias("n_symbols"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.char_length("text") - F.char_length(plain)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("again").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
     )
@@ -68,11 +69,12 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def n_grams(worded: DataFrame) -> DataFrame:
     """The rows without their words, once for each n-gram, with its bucket."""
-    buckets = F.expr(f"""
-        transform(words, w -> cast(pmod(xxhash64(right(w, 3)), {BUCKETS}) as int)) ||
-        transform(words, (w, i) -> if(i = 0, null, cast(pmod(xxhash64(right(words[i - 1], 2), left(w, 2)), {BUCKETS}) as int)))
-    """)
-    return worded.select(*(c for c in worded.columns if c not in ("text", "words")), F.explode(buckets).alias("bucket")).where("bucket is not null")
+    rest = [c for c in worded.columns if c not in ("text", "words")]
+    after = F.expr("slice(words, 2, greatest(size(words), 1))")
+    pairs = worded.select(*rest, F.inline(F.arrays_zip(F.col("words").alias("word"), after.alias("next"))))
+    bucket = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+    across = F.when(F.col("next").isNotNull(), bucket(F.right("word", F.lit(2)), F.left("next", F.lit(2))))
+    return pairs.select(*rest, F.explode(F.array(bucket(F.right("word", F.lit(3))), across)).alias("bucket")).where("bucket is not null")
 
 
 def bounded(trusted: DataFrame, most: int = TRUSTED_MOST) -> DataFrame:
