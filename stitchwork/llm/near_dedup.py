@@ -252,10 +252,10 @@ def long_links(lists: DataFrame, chosen: DataFrame, work: str) -> DataFrame:
     return dealt(sets, kind)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row. work: a folder for steps, which the result still reads."""
     spark = docs.sparkSession
-    work = common.work_dir(spark)
+    work = work or common.work_dir(spark)
     all_ = common.stored(sketches(docs, id_col, text_col), f"{work}/sketches")
     sets = common.stored(all_.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), f"{work}/sets")
     membership = all_.select("doc_id", "n_shingles", "set_hash").join(sets.withColumnRenamed("set_hash", "s"), F.col("set_hash") == F.col("s"), "left")
