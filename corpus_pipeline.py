@@ -22,14 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id."""
-    dropped = exact_dedup.classes(docs).where("doc_id != keep_id").select("doc_id")
-    return common.matching(docs, common.stored(dropped, common.work_dir(spark)), "doc_id", False)
+    state = exact_dedup.DedupState(spark, common.work_dir(spark))
+    dropped = common.stored(exact_dedup.classes(docs, state).where("doc_id != keep_id").select("doc_id"), common.work_dir(spark))
+    common.remove(spark, state.folder)
+    return common.matching(docs, dropped, "doc_id", False)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the one with the smallest doc_id."""
-    dropped = near_dedup.near_classes(docs).where("doc_id != component_id").select("doc_id")
-    return common.matching(docs, common.stored(dropped, common.work_dir(spark)), "doc_id", False)
+    work = common.work_dir(spark)
+    dropped = common.stored(near_dedup.near_classes(docs, work=work).where("doc_id != component_id").select("doc_id"), common.work_dir(spark))
+    common.remove(spark, work)
+    return common.matching(docs, dropped, "doc_id", False)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
