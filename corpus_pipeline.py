@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id."""
-    state = exact_dedup.DedupState(spark, common.work_dir(spark))
+    state = exact_dedup.DedupState(spark, common.work_dir(spark), goes_on=False)
     dropped = common.stored(exact_dedup.classes(docs, state).where("doc_id != keep_id").select("doc_id"), common.work_dir(spark))
     common.remove(spark, state.folder)
     return common.matching(docs, dropped, "doc_id", False)

@@ -6,8 +6,8 @@ without a watermark, so that no digest ever expires; more batches added to the s
 many rows, and identifier and locator of the one that stays, the largest identifier. Rows are summed up before the shuffle, so that a
 digest of very many rows costs each task one row.
 
-A digest alone does not make texts equal. Rows whose digest occurs more than once (hits) are compared with the bytes of the row that
-stays; those that differ are grouped again by digest and whole text.
+A digest alone does not make texts equal. Rows whose digest occurs more than once (hits) are grouped by digest and whole text, together
+with the texts that the state keeps of earlier batches: the row that stays and the group's size are those of all batches so far.
 
 A null text counts as empty; equal texts are identical ones, without any change before. An empty table gives no rows. Identifiers are
 unique; columns other than identifier and text are left out, whatever their names.
@@ -25,10 +25,11 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class DedupState:
-    """Keyed state of all documents so far, below a folder that driver and executors share."""
+    """Keyed state of all documents so far, below a folder that driver and executors share. Where it goes on with later batches, it keeps
+    the texts of each batch, one row for equal ones, as files may change that locators name."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.batches = spark, folder, 0
+    def __init__(self, spark: SparkSession, folder: str, goes_on: bool = True):
+        self.spark, self.folder, self.goes_on, self.batches = spark, folder, goes_on, 0
 
     def add(self, keys: DataFrame) -> DataFrame:
         """digest, n, doc_id (that stays), locator of each digest so far, after these rows of digest, doc_id, locator."""
@@ -59,32 +60,50 @@ def digested(docs: DataFrame, id_col: str, text_col: str, digest: Column | None)
 
 
 def classes(docs: DataFrame, state: DedupState | None = None, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
-    """doc_id, digest, keep_id, group_size for each row. digest: an expression over text, for another one than SHA-256."""
+    """doc_id, digest, keep_id, group_size for each row, over all batches of the state so far. digest: an expression over text, for another
+    one than SHA-256. Without a state there is no later batch."""
     spark = docs.sparkSession
-    state = state or DedupState(spark, common.work_dir(spark))
+    state = state or DedupState(spark, common.work_dir(spark), goes_on=False)
+    if state.batches and not state.goes_on:
+        raise ValueError("the state of a single batch keeps no texts that a later one could be compared with")
     rows = digested(docs, id_col, text_col, digest)
     keys = common.stored(rows.select("digest", "doc_id", "locator"), f"{state.folder}/batch-{state.batches + 1}")
-    stays = state.add(keys).select(F.col("digest").alias("d"), "n", F.col("doc_id").alias("keep_id"))
-    placed = keys.join(stays, F.col("digest") == F.col("d")).select("doc_id", "digest", "n", "keep_id")
-    return _checked(spark, rows, placed, state)
-
-
-def _checked(spark: SparkSession, rows: DataFrame, placed: DataFrame, state: DedupState) -> DataFrame:
-    """The classes after the bytes of all hits were compared with those of the row that stays."""
-    hits = common.stored(placed.where("n > 1"), f"{state.folder}/hits-{state.batches}")
-    texts = common.matching(rows.select(F.col("doc_id").alias("id"), "text"), hits.select(F.col("doc_id").alias("id")), "id", True)
-    hit_texts = common.stored(texts, f"{state.folder}/texts-{state.batches}")
-    kept = hit_texts.join(hits.where("doc_id = keep_id").select(F.col("doc_id").alias("id")), "id", "left_semi").select(F.col("id").alias("keep_id"), F.col("text").alias("kept_text"))
-    own = hits.join(hit_texts, F.col("doc_id") == F.col("id"))
-    compared = own.join(kept, "keep_id", "left").select("doc_id", "digest", "keep_id", "text", F.col("text").eqNullSafe(F.col("kept_text")).alias("same"))
-    verdict = common.stored(compared.select("doc_id", "digest", "keep_id", "same", F.when(~F.col("same"), F.col("text")).alias("other")), f"{state.folder}/compared-{state.batches}")
-    sizes = verdict.where("same").groupBy("keep_id").count()
-    same = verdict.where("same").join(sizes, "keep_id").select("doc_id", "digest", "keep_id", F.col("count").alias("group_size"))
-    differ = verdict.where("not same")
-    groups = differ.groupBy("digest", "other").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep"))
-    again = differ.drop("keep_id").join(groups, ["digest", "other"]).select("doc_id", "digest", F.col("keep").alias("keep_id"), "group_size")
-    alone = placed.where("n = 1").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return alone.unionByName(same).unionByName(again)
+    stays = state.add(keys)
+    return _checked(spark, rows, keys, stays, state)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """One row for each text, compared byte by byte: how often, and the identifier that stays."""
+    return rows.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+
+
+def _checked(spark: SparkSession, rows: DataFrame, keys: DataFrame, stays: DataFrame, state: DedupState) -> DataFrame:
+    """The classes after hits were grouped by their bytes, with the texts of earlier batches."""
+    hits = stays.where("n > 1").select("digest")
+    if state.batches > 1:
+        hits = hits.join(keys.select("digest").distinct(), "digest", "left_semi")
+    # a short hash of the digest finds the rows to look at; what it takes too many does no harm below
+    short = F.xxhash64("digest").alias("h")
+    hits = common.stored(hits.select(short), f"{state.folder}/hits-{state.batches}")
+    of_hits = lambda df: common.matching(df.select("*", short), hits, "h", True).drop("h")
+    if state.goes_on:
+        _counted(rows).write.mode("append").parquet(f"{state.folder}/texts")
+        met = of_hits(spark.read.parquet(f"{state.folder}/texts"))
+        groups = met.groupBy("digest", "text").agg(F.sum("n").alias("n"), F.max("keep_id").alias("keep_id"))
+    elif hits.count() * 16 <= common.BROADCAST_BYTES:
+        groups = _counted(of_hits(rows))
+    else:  # a digest of very many rows costs each task one row
+        groups = of_hits(_counted(rows))
+    groups = common.stored(groups, f"{state.folder}/groups-{state.batches}")
+    by_digest = groups.groupBy("digest").agg(F.count("*").alias("texts"), F.max("n").alias("group_size"), F.max("keep_id").alias("keep_id"))
+    alone = stays.where("n = 1").select("digest", F.lit(1).cast("long").alias("group_size"), F.col("doc_id").alias("keep_id"))
+    settled = alone.unionByName(by_digest.where("texts = 1 and group_size > 1").drop("texts"))
+    found = keys.join(settled, "digest").select("doc_id", "digest", "keep_id", "group_size")
+    clashes = common.stored(by_digest.where("texts > 1").select("digest"), f"{state.folder}/clashes-{state.batches}")
+    if clashes.isEmpty():
+        return found
+    apart = common.matching(rows, clashes, "digest", True).join(groups.withColumnRenamed("n", "group_size"), ["digest", "text"])
+    return found.unionByName(apart.select("doc_id", "digest", "keep_id", "group_size"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

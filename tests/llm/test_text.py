@@ -111,6 +111,24 @@ def test_state_goes_on_with_later_batches(spark):
     assert rows == {"x": (2, 5, "g"), "y": (1, 2, "f"), "z": (1, 3, "g")}
 
 
+@pytest.mark.parametrize("digest", [None, "cast(length(text) % 2 as string)"])
+def test_classes_over_batches_are_brute_force(spark, digest):
+    from pyspark.sql import functions as F
+
+    batches = [[(1, "a"), (9, "b"), (2, "a"), (3, "cc")], [(4, "a"), (5, "b"), (6, "dd"), (7, "e")], [], [(8, "cc"), (10, "e"), (11, None), (12, "f")], [(13, "")]]
+    state, seen = exact_dedup.DedupState(spark, common.work_dir(spark)), collections.defaultdict(list)
+    for rows in batches:
+        for i, t in rows:
+            seen[t or ""].append(i)
+        found = exact_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), state, digest=F.expr(digest) if digest else None).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in found) == sorted((i, max(seen[t or ""]), len(seen[t or ""])) for i, t in rows)
+    once = exact_dedup.DedupState(spark, common.work_dir(spark), goes_on=False)
+    docs = spark.createDataFrame(batches[0], "doc_id long, text string")
+    assert exact_dedup.classes(docs, once).count() == 4
+    with pytest.raises(ValueError):
+        exact_dedup.classes(docs, once)
+
+
 # op8
 def brute_base(text):
     words = WORD.findall(text or "")
