@@ -21,11 +21,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id."""
+    """Of equal texts the one with the largest doc_id; of rows equal in doc_id and text any one. A null doc_id is less than all others.
+    Rows that have a doc_id in common but not the text are told apart."""
     state = exact_dedup.DedupState(spark, common.work_dir(spark), goes_on=False)
-    dropped = common.stored(exact_dedup.classes(docs, state).where("doc_id != keep_id").select("doc_id"), common.work_dir(spark))
+    several = exact_dedup.classes(docs, state).where("group_size > 1").groupBy("doc_id", "digest", "keep_id").agg(F.count("*").alias("n"))
+    marks = several.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.expr("not (doc_id <=> keep_id)").alias("__copy"), "n")
+    marks = common.stored(marks.where("__copy or n > 1").drop("n"), common.work_dir(spark))
     common.remove(spark, state.folder)
-    return common.matching(docs, dropped, "doc_id", False)
+    marks = F.broadcast(marks) if marks.count() * 100 <= common.BROADCAST_BYTES else marks.hint("shuffle_hash")
+    text = F.coalesce(docs["text"], F.lit(""))
+    met = docs["doc_id"].eqNullSafe(marks["__id"]) & (F.sha2(text, 256) == marks["__digest"])
+    repeated = docs.join(marks.where("not __copy"), met, "left_semi")
+    return docs.join(marks, met, "left_anti").unionByName(repeated.withColumn("__text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__text"]).drop("__text"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

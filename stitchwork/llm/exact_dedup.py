@@ -9,8 +9,9 @@ digest of very many rows costs each task one row.
 A digest alone does not make texts equal. Rows whose digest occurs more than once (hits) are grouped by digest and whole text, together
 with the texts that the state keeps of earlier batches: the row that stays and the group's size are those of all batches so far.
 
-A null text counts as empty; equal texts are identical ones, without any change before. An empty table gives no rows. Identifiers are
-unique; columns other than identifier and text are left out, whatever their names.
+A null text counts as empty; equal texts are identical ones, without any change before. An empty table gives no rows. Nothing is joined
+by identifiers: a null one is less than all others, and stays only where all of a group are null; repeated rows each come out, and each
+counts in the group's size. Columns other than identifier and text are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -54,6 +54,14 @@ def test_stages_take_hard_and_empty_tables(spark, hard, nothing, small):
         assert (n > 0) == (docs is hard)
 
 
+def test_one_of_repeated_rows_stays(spark, small):
+    rows = [(1, "a", "en"), (1, "a", "en"), (1, "b", "en"), (4, "b", None), (4, "b", None), (5, None, "fr"), (5, "", "fr"), (5, "x", "fr"), (None, "a", "en"), (6, "y", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    out = corpus_pipeline.without_copies(spark, docs, small)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "", r.digest or "") for r in out.collect()) == [(1, "a", "en"), (4, "b", ""), (5, "", "fr"), (5, "x", "fr"), (6, "y", "en")]
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert set(registry.QUERIES) <= set(names) and "pipeline" in names

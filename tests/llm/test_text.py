@@ -129,6 +129,19 @@ def test_classes_over_batches_are_brute_force(spark, digest):
         exact_dedup.classes(docs, once)
 
 
+@pytest.mark.parametrize("digest", [None, "cast(length(text) % 2 as string)"])
+def test_exact_dedup_takes_null_and_repeated_ids(spark, digest):
+    from pyspark.sql import functions as F
+
+    rows = [(None, "a"), (None, "a"), (3, "a"), (None, "b"), (None, "cc"), (None, "cc"), (5, "d"), (5, "d"), (5, "e"), (6, "e"), (7, "ff"), (7, "ff"), (7, "ff")]
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    found = exact_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), digest=F.expr(digest) if digest else None).collect()
+    expect = [(i, max((j for j in groups[t] if j), default=None), len(groups[t])) for i, t in rows]
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in found) == collections.Counter(expect)
+
+
 # op8
 def brute_base(text):
     words = WORD.findall(text or "")
