@@ -171,16 +171,26 @@ def typed_vote(a: Column, b: Column, kind: str) -> Column:
     return similarity.token_jaccard(text.tokens(a), text.tokens(b))
 
 
-def linked_entities(web: DataFrame, kb: DataFrame, threshold: float = 0.6, longest: int = 1000) -> DataFrame:
-    """Records linked to entities of the same class, by label tokens: blocked by class and token, scored by Jaccard,
-    one to one within a class. web, kb: id, class, label."""
-    tok = lambda d: d.withColumn("tokens", F.array_distinct(text.tokens(F.col("label"))))
-    w, k = tok(web), tok(kb)
-    keys = lambda d, name: d.select(F.col("id").alias(name), "class", F.explode("tokens").alias("token"), F.size("tokens").alias(f"{name}_n"))
-    b = keys(k, "r")
-    frequent = b.groupBy("class", "token").agg(F.count("*").alias("n")).where(F.col("n") > longest).select("class", "token")
-    met = keys(w, "l").join(b.join(frequent, ["class", "token"], "left_anti"), ["class", "token"]).groupBy("l", "r", "class", "l_n", "r_n").agg(F.count("*").alias("common"))
-    scored = met.withColumn("score", F.round(F.col("common") / (F.col("l_n") + F.col("r_n") - F.col("common")), 6)).where(F.col("score") >= threshold)
+def linked_entities(web: DataFrame, kb: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Records linked to entities of the same class, by label tokens: blocked by class and token, scored by Jaccard on all
+    tokens, one to one within a class. web, kb: id, class, label. Labels can only reach the threshold if they share one of their rarest
+    tokens (a prefix filter), so that frequent ones make blocks only where a label has no others. Of equal token sets only the smallest id
+    can be first for any other record."""
+    tok = lambda d, end: d.withColumn("tokens", F.array_sort(F.array_distinct(text.tokens(F.col("label"))))).groupBy("class", "tokens").agg(F.min("id").alias(end))
+    w, k = tok(web, "l"), tok(kb, "r")
+    counts = k.select("class", F.explode("tokens").alias("token")).groupBy("class", "token").agg(F.count("*").alias("n"))
+
+    def prefix(d: DataFrame, end: str) -> DataFrame:
+        long = d.select("class", end, F.col("tokens").alias(f"{end}_tokens"), F.explode("tokens").alias("token")).join(counts, ["class", "token"], "left")
+        rows = long.groupBy("class", end, f"{end}_tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("rare"))
+        size = F.size("rare")
+        # a score rounds up to the threshold from half a millionth below; floating point is given as much again
+        length = F.greatest(F.least(size - F.ceil(size * F.lit(threshold - 1e-6)) + 1, size), F.lit(0)).cast("int")
+        return rows.select("class", end, f"{end}_tokens", F.explode(F.slice("rare", 1, length)["token"]).alias("token"))
+
+    met = prefix(w, "l").join(prefix(k, "r"), ["class", "token"]).drop("token").distinct()
+    common = F.size(F.array_intersect("l_tokens", "r_tokens"))
+    scored = met.withColumn("score", F.round(common / (F.size("l_tokens") + F.size("r_tokens") - common), 6)).where(F.col("score") >= threshold)
     first = lambda end, other: F.row_number().over(Window.partitionBy("class", end).orderBy(F.desc("score"), other))
     return scored.withColumn("__l", first("l", "r")).withColumn("__r", first("r", "l")).where("__l = 1 and __r = 1").select("l", "r", "class", "score")
 

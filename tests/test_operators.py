@@ -139,6 +139,28 @@ def test_matching_fixture(spark):
     assert {(r.q, r.i) for r in matching.fuzzy_lookup(web, kb, 2, 1).collect()} == {("w1", "k1"), ("w2", "k2")}
 
 
+def test_linked_entities_are_brute_force(spark):
+    r = random.Random(3)
+    label = lambda: " ".join(r.choice(["saint", "saint", "saint", "john", "mary", "bay", "cape", "x1", "x2"]) for _ in range(r.randint(1, 5)))
+    web, kb = ([(f"{side}{i:02}", r.choice("ab"), label()) for i in range(60)] for side in "wk")
+    kb += [(f"s{i}", "c", f"saint n{i}") for i in range(1500)] + [("s", "c", "saint john")]
+    web += [("w", "c", "Saint John")]
+    expect = set()
+    for c in "abc":
+        scores = {}
+        for i, _, x in (row for row in web if row[1] == c):
+            for j, _, y in (row for row in kb if row[1] == c):
+                s, t = set(x.lower().split()), set(y.split())
+                if (score := round(len(s & t) / len(s | t), 6)) >= 0.6:
+                    scores[i, j] = score
+        first_l = {i: min((-v, j) for (l, j), v in scores.items() if l == i) for i, _ in scores}
+        first_r = {j: min((-v, i) for (i, k), v in scores.items() if k == j) for _, j in scores}
+        expect |= {(i, j, c, v) for (i, j), v in scores.items() if first_l[i] == (-v, j) and first_r[j] == (-v, i)}
+    tables = [spark.createDataFrame(rows, "id string, class string, label string") for rows in (web, kb)]
+    found = [tuple(row) for row in matching.linked_entities(*tables).collect()]
+    assert ("w", "s", "c", 1.0) in found and sorted(found) == sorted(expect)
+
+
 def test_stitching_fixture(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", "p")], "id int, name string, place string")
     merged = stitching.merged_entities(a.union(spark.createDataFrame([(3, "z", "q")], a.schema)), spark.createDataFrame([(1, 3)], "l int, r int"), "id", ["name", "place"])
