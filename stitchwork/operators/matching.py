@@ -202,14 +202,32 @@ def classes_by_linking(links: DataFrame, sizes: DataFrame, min_entities: int = 3
     return scored.where((F.col("mapped") >= min_entities) & (F.col("mapped") / F.col("n") >= min_mapped) & (F.col("score") >= least)).select("col_id", "class", "score")
 
 
+def close_tokens(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
+    """(token, other, edits): all pairs of distinct tokens within so many edits. A right token is cut into distance + 1 parts, of which edits
+    leave one whole at least; it is looked for in left tokens of a length as close, at places as close."""
+    n, cut = F.length("other"), lambda size, i: F.floor(size * i / (distance + 1)).cast("int")
+    key = lambda size, i, part: F.concat_ws(":", size, F.lit(i), part)
+    parts = [key(n, i, F.substring(F.col("other"), cut(n, i) + 1, cut(n, i + 1) - cut(n, i))) for i in range(distance + 1)]
+    index = right.select(F.col("token").alias("other")).distinct().select("other", F.explode(F.array(*parts)).alias("key"))
+    places = []
+    for more in range(-distance, distance + 1):
+        size = F.length("token") + more
+        for i in range(distance + 1):
+            begin, length = cut(size, i), cut(size, i + 1) - cut(size, i)
+            for shift in range(-distance, distance + 1):
+                inside = (size >= 0) & (begin + shift >= 0) & (begin + shift + length <= F.length("token"))
+                places.append(F.when(inside, key(size, i, F.substring(F.col("token"), begin + shift + 1, length))))
+    looked = left.select("token").distinct().select("token", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("key"))
+    met = looked.join(index, "key").select("token", "other").distinct()
+    return met.withColumn("edits", F.levenshtein("token", "other", distance)).where("edits >= 0")
+
+
 def fuzzy_lookup(queries: DataFrame, index: DataFrame, distance: int = 2, k: int = 50) -> DataFrame:
     """For each label the k nearest labels of the index that share a token with it up to so many edits. queries, index: id, label, class."""
-    grams = lambda d, name: d.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"), F.col("class").alias(f"{name}_class"), F.explode(text.tokens(F.col("label"))).alias("token"))
+    grams = lambda d, name: d.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"), F.col("class").alias(f"{name}_class"), F.explode(F.array_distinct(text.tokens(F.col("label")))).alias("token"))
     a, b = grams(queries, "q"), grams(index, "i")
-    # tokens within d edits share a piece of one of d+1 parts at the same end or differ in length little: the first letter or the last one, and length
-    keyed = lambda d, c: d.withColumn("piece", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.left(c, F.lit(1))), F.concat(F.lit(">"), F.right(c, F.lit(1))), F.concat(F.lit("="), c)))))
-    met = keyed(a, F.col("token")).join(keyed(b, F.col("token")).withColumnRenamed("token", "other"), "piece").where(F.levenshtein("token", "other", distance) >= 0)
-    met = met.where("q_class is null or q_class = i_class").groupBy("q", "q_label", "i", "i_label").agg(F.min(F.levenshtein("token", "other")).alias("edits"), F.countDistinct("token").alias("common"))
+    met = a.join(close_tokens(a, b, distance), "token").join(b.withColumnRenamed("token", "other"), "other")
+    met = met.where("q_class is null or q_class = i_class").groupBy("q", "q_label", "i", "i_label").agg(F.min("edits").alias("edits"), F.countDistinct("token").alias("common"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("common"), "edits", F.levenshtein("q_label", "i_label"), "i"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "i", "common", "edits", "rank")
 

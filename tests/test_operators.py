@@ -161,6 +161,31 @@ def test_linked_entities_are_brute_force(spark):
     assert ("w", "s", "c", 1.0) in found and sorted(found) == sorted(expect)
 
 
+def test_fuzzy_lookup_is_brute_force(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(60)] + ["0s", "24s", "0", "24", "bcdefghijk", "xcdefghijz"]
+    queries, index = ([(i, " ".join(r.choice(words) for _ in range(r.randint(1, 3))), r.choice([None, "a", "b"])) for i in range(40)] for _ in range(2))
+    tables = [spark.createDataFrame(rows, "id int, label string, class string") for rows in (queries, index)]
+    for distance in (0, 1, 2, 3):
+        expect = {}
+        for q, x, c in queries:
+            for i, y, d in index:
+                near = {s: min(edits(s, t) for t in y.split()) for s in x.split()}
+                common = sum(n <= distance for n in near.values())
+                if common and (c is None or c == d):
+                    expect[q, i] = (common, min(near.values()))
+        found = {(row.q, row.i): (row.common, row.edits) for row in matching.fuzzy_lookup(*tables, distance, 1000).collect()}
+        assert found == expect, distance
+
+
 def test_stitching_fixture(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", "p")], "id int, name string, place string")
     merged = stitching.merged_entities(a.union(spark.createDataFrame([(3, "z", "q")], a.schema)), spark.createDataFrame([(1, 3)], "l int, r int"), "id", ["name", "place"])
