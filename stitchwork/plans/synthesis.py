@@ -73,7 +73,7 @@ def union_with_context(tables: list[WebTable]) -> dict[str, DataFrame]:
     return out
 
 
-def normalised(df: DataFrame, max_size: int = 3, least: float = 1.0, timings: Timings | None = None) -> tuple[algebra.Fds, dict[str, DataFrame]]:
+def normalised(df: DataFrame, max_size: int | None = None, least: float = 1.0, timings: Timings | None = None) -> tuple[algebra.Fds, dict[str, DataFrame]]:
     """The dependencies of a union table, and its relations in Boyce-Codd normal form."""
     timings = timings or Timings()
     safe = {c: re.sub(r"\W", "_", c) for c in df.columns}
@@ -86,7 +86,7 @@ def normalised(df: DataFrame, max_size: int = 3, least: float = 1.0, timings: Ti
         return cover, dependencies.decomposed(plain, relations)
 
 
-def synthesised(tables: list[WebTable], min_rows: int = 1, max_size: int = 3, least: float = 1.0) -> dict[str, dict[str, DataFrame]]:
+def synthesised(tables: list[WebTable], min_rows: int = 1, max_size: int | None = None, least: float = 1.0) -> dict[str, dict[str, DataFrame]]:
     """All steps: the relations of each union table with enough rows."""
     timings, out = Timings(), {}
     with timings.step("union"):

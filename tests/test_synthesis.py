@@ -46,6 +46,13 @@ def test_templates(spark):
     assert [r[0] for r in out] == [["1", "2"], None]
 
 
+def test_determinants_of_four_columns(spark):
+    rows = [(a, b, c, d, str((a + b + c + d) % 2)) for a in range(2) for b in range(2) for c in range(2) for d in range(2)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e string")
+    cover, _ = synthesis.normalised(df)
+    assert cover[frozenset("abcd")] == {"e"}
+
+
 def test_knowledge(spark):
     web = spark.createDataFrame([("w.name", "string", "New York"), ("w.name", "string", "Paris"), ("w.pop", "numeric", "8000000")], "owner string, type string, v string")
     kb = spark.createDataFrame([("k.label", "string", "york new"), ("k.label", "string", "Rome"), ("k.size", "numeric", "8000000"), ("k.note", "string", "8000000")], "owner string, type string, v string")
