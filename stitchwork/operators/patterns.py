@@ -37,9 +37,9 @@ def template(values: list[str], least: int = 3) -> str:
     return side(left) + re.escape(common) + side(right)
 
 
-def mined(cells: DataFrame, least_support: float = 0.05, least_tokens: float = 4, values_each: int = 200) -> DataFrame:
+def mined(cells: DataFrame, least_support: float = 0.05, least_tokens: float = 4) -> DataFrame:
     """(col_id, pattern, support, n): by column, clusters of values around the most frequent token left, from the support on, whose
-    values are long enough on average. A cluster's template is made of its values_each smallest distinct values, and then counted on all."""
+    values are long enough on average. A cluster's template is made of all its distinct values, which meet in one task for it."""
     distinct = cells.where("v is not null").groupBy("col_id", "v").agg(F.count("*").alias("n"))
     tokens = F.array_distinct(text.tokens(F.col("v"), STOP_WORDS))
     long = distinct.withColumn("words", F.size(text.tokens(F.col("v")))).withColumn("token", F.explode(tokens))
@@ -50,15 +50,11 @@ def mined(cells: DataFrame, least_support: float = 0.05, least_tokens: float = 4
     sizes = best.groupBy("col_id", "best.token").agg(F.sum("n").alias("support"), F.avg("words").alias("words")).join(total, "col_id")
     large = sizes.where((F.col("support") >= least_support * F.col("total")) & (F.col("words") >= least_tokens)).select("col_id", "token")
     members = best.select("col_id", F.col("best.token").alias("token"), "v", "n").join(large, ["col_id", "token"], "left_semi")
-    few = members.withColumn("h", F.xxhash64("v")).withColumn("some", F.pmod("h", F.lit(64)))
-    some = few.groupBy("col_id", "token", "some").agg(F.slice(F.array_sort(F.collect_set("v")), 1, max(1, values_each // 64 + 1)).alias("vs"))
-    examples = some.select("col_id", "token", F.explode("vs").alias("v"))
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(pdf["col_id"].iloc[0], pdf["token"].iloc[0], template(sorted(pdf["v"])))], columns=["col_id", "token", "pattern"])
 
-    made = examples.groupBy("col_id", "token").applyInPandas(run, "col_id string, token string, pattern string").where("pattern != '(.*)'")
-    met = members.join(made, ["col_id", "token"]).where(F.expr("v rlike concat('^', pattern, '$')"))
+    made = members.select("col_id", "token", "v").groupBy("col_id", "token").applyInPandas(run, "col_id string, token string, pattern string").where("pattern != '(.*)'")
+    met = members.join(made, ["col_id", "token"]).where(F.expr("v rlike concat('(?s)^', pattern, '$')"))
     return met.groupBy("col_id", "pattern").agg(F.sum("n").alias("support"), F.count("*").alias("n_values"))
 
 

@@ -46,6 +46,12 @@ def test_templates(spark):
     assert [r[0] for r in out] == [["1", "2"], None]
 
 
+def test_templates_cover_all_values(spark):
+    values = [f"the flight number {i} leaves today" for i in range(2000)] + ["zz flight number 7 stays today"]
+    cells = spark.createDataFrame([("c", v) for v in values], "col_id string, v string")
+    assert [tuple(r) for r in patterns.mined(cells).collect()] == [("c", patterns.template(sorted(values)), 2001, 2001)]
+
+
 def test_determinants_of_four_columns(spark):
     rows = [(a, b, c, d, str((a + b + c + d) % 2)) for a in range(2) for b in range(2) for c in range(2) for d in range(2)]
     df = spark.createDataFrame(rows, "a int, b int, c int, d int, e string")
