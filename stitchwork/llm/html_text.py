@@ -3,9 +3,10 @@
 The standard library's parser streams a page's events; nothing is built but a list of lines, a line being the text between two borders
 of block elements, with the number of tags in it. Text in scripts, styles, menus, headers, footers, sidebars, forms, notices, adverts and
 reader comments (by element, or by a word of class, id or role) never becomes a line. Each line's ratio of text to tags is smoothed by a
-Gaussian along the page, and lines at or above one standard deviation of the smoothed ratios cluster as content. The region is where
-most of the content's characters lie: the article element that has most, else the main element, else the element that is the lines'
-parent. All lines of the region are the text, short ones too.
+Gaussian along the page, and lines at or above one standard deviation of the smoothed ratios cluster as content. The region holds all
+clusters: the article elements with content if they have half of its characters at least, else the main elements alike, else the lowest
+element that the parents of all content lines lie in. All lines of the region are the text, short ones too. A word of class, id or role
+excludes neither html, body, main and article elements nor an element that one of them lies in.
 
 Character references are decoded, white space inside a line becomes one space and lines are joined by a line feed. Markup may be broken
 or end early. A null, empty or textless page gives an empty text. Equal pages each have their row. Columns other than page_id, url and
@@ -15,7 +16,6 @@ html are left out, whatever their names; page_id and url may be null.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,34 +36,45 @@ MARKS = frozenset("""ad ads advert advertisement adverts banner breadcrumb bread
     footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing
     sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split())
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+ROOTS = frozenset("html body main article".split())
 SIGMA, RADIUS = 1.0, 2
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """lines: (text, tags, path of element numbers); kinds: the name of each element."""
+    """found(): (text, tags, path of element numbers) of each line; kinds: the name of each element."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
         self.kinds: list[str] = []
         self.stack: list[tuple[str, int]] = []
         self.skip = 0  # how deep the stack was when what is not the article began, plus 1
-        self.parts: list[str] = []
+        self.marks: list[tuple[int, int]] = []  # open elements with a mark: how deep the stack was with them, their numbers
+        self.within: tuple[int, ...] = ()  # these numbers
+        self.cleared: set[int] = set()  # elements whose mark does not count
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.tags = 0
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, tuple(n for name, n in self.stack if name in BLOCKS)))
+        if self.parts:
+            self.lines.append((self.parts, self.tags, tuple(n for name, n in self.stack if name in BLOCKS)))
         self.parts, self.tags = [], 0
 
+    def found(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """The lines without what lies in marked elements, known at the end of the page."""
+        lines = ((" ".join("".join(t for t, marks in parts if self.cleared.issuperset(marks)).split()), tags, path) for parts, tags, path in self.lines)
+        return [line for line in lines if line[0]]
+
     def pop(self, depth: int) -> None:
         if any(name in BLOCKS for name, _ in self.stack[depth:]):
             self.end_line()
         del self.stack[depth:]
         if self.skip and depth < self.skip:
             self.skip = 0
+        while self.marks and self.marks[-1][0] > depth:
+            self.marks.pop()
+            self.within = self.within[:-1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self.stack and tag in CLOSED_BY.get(self.stack[-1][0], ()):
@@ -79,12 +90,19 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.parts.append((" ", ()))
             return
         self.kinds.append(tag)
         self.stack.append((tag, len(self.kinds) - 1))
-        if not self.skip and (tag in ASIDE or self.marked(attrs)):
+        if self.skip:
+            return
+        if tag in ASIDE:
             self.skip = len(self.stack)
+        elif tag in ROOTS:
+            self.cleared.update(self.within)
+        elif self.marked(attrs):
+            self.marks.append((len(self.stack), len(self.kinds) - 1))
+            self.within += (len(self.kinds) - 1,)
 
     def marked(self, attrs: list[tuple[str, str | None]]) -> bool:
         return any(k in ("class", "id", "role") and v and not MARKS.isdisjoint(_WORDS.findall(v.lower())) for k, v in attrs)
@@ -98,7 +116,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.parts.append(data)
+            self.parts.append((data, self.within))
 
 
 def content(ratios: np.ndarray) -> np.ndarray:
@@ -113,21 +131,24 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = parser.found()
     if not lines:
         return ""
     chosen = content(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
-    found: dict[str, Counter] = {"article": Counter(), "main": Counter(), "": Counter()}
-    for (text, _, path), yes in zip(lines, chosen, strict=True):
-        if yes:
-            for n in path:
-                if parser.kinds[n] in found:
-                    found[parser.kinds[n]][n] += len(text)
-            # the line's own block says nothing about the region: its parent does
-            found[""][path[-2] if len(path) > 1 else path[-1] if path else -1] += len(text)
-    scores = found["article"] or found["main"] or found[""]
-    region = max(scores, key=lambda n: (scores[n], -n))
-    return "\n".join(text for text, _, path in lines if region in path or region == -1)
+    kept = [(len(text), path) for (text, _, path), yes in zip(lines, chosen, strict=True) if yes]
+    total = sum(n for n, _ in kept)
+    for kind in ("article", "main"):
+        inside = [(n, [e for e in path if parser.kinds[e] == kind]) for n, path in kept]
+        if 2 * sum(n for n, elements in inside if elements) >= total:
+            regions = {e for _, elements in inside for e in elements}
+            return "\n".join(text for text, _, path in lines if not regions.isdisjoint(path))
+    # a line's own block says nothing about the region: its parent does
+    region = list(kept[0][1][:-1] or kept[0][1])
+    for _, path in kept[1:]:
+        parents = path[:-1] or path
+        same = next((i for i, (a, b) in enumerate(zip(region, parents)) if a != b), min(len(region), len(parents)))
+        del region[same:]
+    return "\n".join(text for text, _, path in lines if not region or region[-1] in path)
 
 
 def extract(pages: DataFrame) -> DataFrame:

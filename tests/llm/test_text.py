@@ -77,6 +77,23 @@ def test_main_text(html, text):
     assert (html_text.main_text(html) if html else "") == text
 
 
+LONG = ["one long paragraph of the page that says much", "two long paragraphs are better than one of them"]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body><div id=c><h1>T</h1><div><p>{0}</p></div><div><p>{1}</p></div></div></body>", "T\n{0}\n{1}"),
+        ("<article><p>{0}</p></article><article><p>{1}</p></article><p>x</p>", "{0}\n{1}"),
+        ("<body class='has-sidebar'><article class='share-enabled'><p>{0}</p></article><div class=sidebar><p>{1}</p></div></body>", "{0}"),
+        ("<div class='no-sidebar'><p>x</p><div class=ad>{0}</div><main id=social><p>{1} <b class=share>y</b></p></main></div>", "{1}"),
+        ("<p>{0}</p><p>{1}</p>", "{0}\n{1}"),
+    ],
+)
+def test_main_text_of_all_clusters(html, text):
+    assert html_text.main_text(html.format(*LONG)) == text.format(*LONG)
+
+
 def test_extracted_pages(spark, small):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a b</p>", "y"), (2, "u", "<p>a b</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("a b", 3), ("a b", 3)]
