@@ -3,7 +3,9 @@
 A window is what one task has read, up to a bound in tokens. Its pieces are placed longest first, each into the fullest sequence that
 still has room: a segment tree over amounts of room, whose nodes hold how many sequences below them are open, finds it in as many steps
 as the tree is high. A document longer than a sequence is cut without loss, into pieces of a whole sequence and a rest. No rows are
-shuffled: a window loses less than one sequence's room beyond what best fit loses on the whole table.
+shuffled, and pieces of different windows never share a sequence: how many sequences there are depends on how the input is split, and a
+table laid out by length or source may need up to half as many again, as where one window has pieces just longer than half a sequence
+and the other one pieces just shorter.
 
 A row is a sequence: its ids as a row of a matrix (little-endian, unsigned, of 2 bytes where the vocabulary fits and else 4; filled up
 with the pad id), the cumulative lengths of its segments from 0, position ids that begin at 0 again in each segment (2 or 4 bytes alike),
