@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stitchwork.llm import common, exact_dedup, html_text, near_dedup, quality, secrets
@@ -88,13 +89,34 @@ LONG = ["one long paragraph of the page that says much", "two long paragraphs ar
         ("<body class='has-sidebar'><article class='share-enabled'><p>{0}</p></article><div class=sidebar><p>{1}</p></div></body>", "{0}"),
         ("<div class='no-sidebar'><p>x</p><div class=ad>{0}</div><main id=social><p>{1} <b class=share>y</b></p></main></div>", "{1}"),
         ("<p>{0}</p><p>{1}</p>", "{0}\n{1}"),
+        ("<div><p>{0}</p></div><div><p>{1}</p></div>", "{0}\n{1}"),
+        ("<body class='has-sidebar'><article><p>{0}</p></article><div class='cookie-notice'><p>{1} {1} {1}</p></div>", "{0}"),
+        ("<div class='post no-comments'><p>{0}</p></div>", "{0}"),
+        ("<div id='social-history'><p>{0}</p><p>{1}</p></div>", "{0}\n{1}"),
+        ("<article><header><h1>T</h1></header><p>{0}</p><div class='comment-list'><p>{1}</p></div></article>", "T\n{0}"),
+        ("<header><p>{1}</p></header><div><h1>T</h1><p>{0}</p><p>short</p></div><div class='site-footer'><p>{1}</p></div>", "T\n{0}\nshort"),
+        ("<div class='widget'><p>{0}</p></div><div class='comments'><p>{1} {1}</p></div>", "{0}"),
+        ("<form><h1>T</h1><p>{0}</p></form>", "T\n{0}"),
+        ("<ul><li><a>one</a><li><a>two</a><li><a>three</a><li><a>four</a></ul><div><p>{0}</p><p>{1}</p></div>", "{0}\n{1}"),
+        ("<article><p>{0}</p><article class=comment><p>c</p></article></article>", "{0}\nc"),
     ],
 )
 def test_main_text_of_all_clusters(html, text):
     assert html_text.main_text(html.format(*LONG)) == text.format(*LONG)
 
 
+def test_clusters_decide(monkeypatch):
+    """The text is what the clusters select, and not what names alone leave."""
+    page = "<nav><a>m</a></nav><div><a>x</a> <a>y</a></div><div><h1>T</h1><p>{0}</p><p>{1}</p></div><div><b>v</b> <a>w</a> <i>z</i></div>".format(*LONG)
+    assert html_text.main_text(page) == "T\n{0}\n{1}".format(*LONG)
+    monkeypatch.setattr(html_text, "content", lambda ratios: np.arange(len(ratios)) == 0)
+    assert html_text.main_text(page) == "m"
+    monkeypatch.setattr(html_text, "content", lambda ratios: np.arange(len(ratios)) < 4)
+    assert html_text.main_text(page) == "m\nT\n{0}\n{1}".format(*LONG)
+
+
 def test_extracted_pages(spark, small):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a b</p>", "y"), (2, "u", "<p>a b</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("a b", 3), ("a b", 3)]
     rows = html_text.op4_html_text(spark, small).collect()
