@@ -108,11 +108,10 @@ def test_main_text_of_all_clusters(html, text):
 def test_clusters_decide(monkeypatch):
     """The text is what the clusters select, and not what names alone leave."""
     page = "<nav><a>m</a></nav><div><a>x</a> <a>y</a></div><div><h1>T</h1><p>{0}</p><p>{1}</p></div><div><b>v</b> <a>w</a> <i>z</i></div>".format(*LONG)
-    assert html_text.main_text(page) == "T\n{0}\n{1}".format(*LONG)
-    monkeypatch.setattr(html_text, "content", lambda ratios: np.arange(len(ratios)) == 0)
-    assert html_text.main_text(page) == "m"
-    monkeypatch.setattr(html_text, "content", lambda ratios: np.arange(len(ratios)) < 4)
-    assert html_text.main_text(page) == "m\nT\n{0}\n{1}".format(*LONG)
+    menu = "<nav><ul><li>one entry<li>m</ul></nav>"
+    assert html_text.main_text(menu + page) == "T\n{0}\n{1}".format(*LONG)
+    monkeypatch.setattr(html_text, "content", lambda ratios: np.arange(len(ratios)) < 2)
+    assert html_text.main_text(menu + page) == "one entry\nm"
 
 
 def test_extracted_pages(spark, small):
