@@ -38,6 +38,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def entries_in(spark: SparkSession, path: str) -> int:
+    """How many files and folders lie in a folder; 0 if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return len(system.listStatus(p)) if system.exists(p) else 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of an operator's own that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
