@@ -1,10 +1,13 @@
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stitchwork.llm import common, exact_dedup, html_text, near_dedup, quality, secrets
 
@@ -203,20 +206,51 @@ def test_base_rules(spark, hard, nothing, documents):
     assert quality.base_rules(nothing).collect() == []
 
 
-def test_verdict_follows_the_trusted_documents(spark, hard, nothing):
+def brute_verdict(rows, trusted, spark):
+    """kept of each (doc_id, text) by counting every word and pair of neighbours; hashes are Spark's."""
+    texts = {t for _, t in rows if t}
+    words = sorted({w for t in texts for w in WORD.findall(t)})
+    hashed = dict(zip(words, (r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").coalesce(1).selectExpr("xxhash64(w)").collect())))
+    pairs = sorted({(hashed[a], hashed[b]) for t in texts for a, b in itertools.pairwise(WORD.findall(t))})
+    joined = dict(zip(pairs, (r[0] for r in spark.createDataFrame(pairs, "a long, b long").coalesce(1).selectExpr("xxhash64(a, b)").collect())))
+    grams = []
+    for _, t in rows:
+        w = [hashed[x] for x in WORD.findall(t or "")]
+        grams.append([h % quality.BUCKETS for h in w] + [joined[p] % quality.BUCKETS for p in itertools.pairwise(w)])
+    raw, target = collections.Counter(), collections.Counter()
+    for (i, _), g in zip(rows, grams, strict=True):
+        raw.update(g)
+        target.update(g if i in trusted else [])
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: round(math.log((target[b] + 5) / (n * share + 5)) * 1_000_000) for b, n in raw.items()}
+    return [not brute_base(t)[-1] and sum(ratio[b] for b in g) >= quality.THRESHOLD * 1_000_000 * len(g) for (_, t), g in zip(rows, grams, strict=True)]
+
+
+def test_verdict_is_brute_force(spark, hard, nothing, documents):
     r = random.Random(1)
     good = lambda: " ".join(r.choice(["the", "house", "stood", "near", "river", "and", "mill", "old", "man", "walked", "green"]) + r.choice(["", "s", ",", ".", "ing"]) for _ in range(90))
     junk = lambda: " ".join(r.choice(["the", "house", "river"]) + r.choice(["%%%", "$$$"]) + str(r.randint(0, 99)) for _ in range(90))
-    docs = spark.createDataFrame([(i, good() if i % 3 else junk(), "x") for i in range(120)] + [(None, None, "x")], "doc_id long, text string, bucket string")
-    trusted = spark.createDataFrame([(i,) for i in range(60) if i % 3] + [(None,)], "doc_id long")
-    rows = quality.judged(docs, trusted).collect()
-    assert len(rows) == 121 and all(q.kept == (q.doc_id is not None and q.doc_id % 3 > 0) for q in rows)
-    assert all(q.score is None or abs(q.score) < 20 for q in rows)
+    more = [(-1 - i, good() if i % 3 else junk()) for i in range(900)] + [(-2000, junk()), (-2000, good())]
+    docs = hard.unionByName(spark.createDataFrame([(*d, "x") for d in more] + [(None, None, "x")], "doc_id long, text string, bucket string"), allowMissingColumns=True)
+    trusted = [-1 - i for i in range(600) if i % 3]
+    rows = quality.judged(docs, spark.createDataFrame([(i,) for i in [*trusted, None, 99999]], "doc_id long")).collect()
+    expect = brute_verdict(documents + more, set(trusted), spark)
+    assert sorted((q.doc_id, q.kept) for q in rows if q.doc_id is not None) == sorted((i, k) for (i, _), k in zip(documents + more, expect, strict=True))
+    assert all(k == bool(i % 3) for i, k in enumerate(expect[len(documents) : -2]))
+    assert [(q.kept, q.score, q.n_words) for q in rows if q.doc_id is None] == [(False, None, 0)]
     nobody = spark.createDataFrame([], "doc_id long")
     assert all(q.kept == (not q.base_failed) for q in quality.judged(docs, nobody).collect())
     assert quality.judged(nothing, nobody).collect() == []
 
 
+def test_labels_of_held_out_documents(spark):
+    """Fitted on one half of the labelled documents, the verdict tells good from bad in the other half."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    fitted = quality.judged(docs, labels.where("quality = 1 and doc_id % 2 = 0").select("doc_id"))
+    found = {r.quality: r.kept for r in fitted.join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert found[1] >= 0.9 and found[0] <= 0.15
+
+
 def test_bounded_sample_of_trusted_ids(spark):
     ids = spark.range(5000).toDF("doc_id")
     n = quality.bounded(ids, 500).count()
