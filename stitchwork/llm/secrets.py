@@ -6,8 +6,10 @@ blob that the ledger does not have under the current rules, scans only those, ad
 every path and version with that blob. Scanning again scans nothing; new rules scan all blobs once more.
 
 Kinds, in this order: assign, access, hex (the base), then private (a PEM private key's header and its body), jwt (three base64url parts).
-Spans are code points, end exclusive. A null or empty text has no findings. Equal texts are one blob and each get all findings. A path
-may occur many times, with its versions; ids may be null. Columns other than the three named are left out, whatever their names.
+Spans are code points, end exclusive. A null or empty text has no findings, a very long one is scanned whole, an empty table gives no rows.
+Equal texts are one blob and each get all findings. A path may occur many times, with its versions; ids may be null, or repeated. A blob
+that two scans added at a time, or one that was begun again, is in the ledger twice with the same findings, and counts once. Columns other
+than the three named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ class Ledger:
         blobs = addressed.join(lent.hint("shuffle_hash"), one, "left_semi")
         # a row that is there twice lends its text twice
         scan_blobs(blobs).dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
-        found = self.findings().where(F.size("found") > 0)
+        found = self.findings().where(F.size("found") > 0).dropDuplicates(["blob"])
         none = F.expr(f"cast(array() as {FOUND})")
         return rows.join(found, "blob", "left").select("path", "version", "blob", F.coalesce("found", none).alias("found"))
 
@@ -107,24 +109,29 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def redacted(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
-    """All rows and columns, with MARK in place of secrets in the text; count_col, if there is one, counts the new text's characters."""
-    found = ledger.scan(docs, id_col, None, text_col).where(F.size("found") > 0).select(F.col("path").alias(id_col), "found")
-    found = common.stored(found.dropDuplicates([id_col]), f"{common.work_dir(docs.sparkSession)}/found")
-    ids = found.select(id_col)
-    spans = found.select(F.col(id_col).alias("found_in"), F.col("found").alias("found_spans"))
-    hit = common.matching(docs, ids, id_col, True)
-    hit = hit.join(spans, hit[f"`{id_col}`"] == F.col("found_in"))
+    """All rows and columns, with MARK in place of secrets in the text; count_col, if there is one, counts the new text's characters.
+    Rows meet findings by their blob, whatever their ids."""
+    found = ledger.scan(docs, id_col, None, text_col).where(F.size("found") > 0)
+    free = lambda name: name if name not in docs.columns else free(name + "_")
+    blob, spans, short = free("found_blob"), free("found_spans"), free("found_short")
+    found = common.stored(found.dropDuplicates(["blob"]).select(F.col("blob").alias(blob), F.col("found").alias(spans)), f"{common.work_dir(docs.sparkSession)}/found")
+    addressed = docs.withColumn(blob, F.sha2(F.coalesce(docs[f"`{text_col}`"], F.lit("")), 256)).withColumn(short, F.xxhash64(blob))
+    # a short hash of the blob finds the rows to look at; what it takes too many does no harm
+    ids = found.select(F.xxhash64(blob).alias(short)).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hit = common.matching(addressed, ids, short, True).join(found, blob, "left").select(*columns, spans)
+    clean = common.matching(addressed, ids, short, False).select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [redact(t, [(s["start"], s["end"]) for s in f]) for t, f in zip(batch.column(text_col).to_pylist(), batch.column("found_spans").to_pylist(), strict=True)]
-            for name, values in ((text_col, texts), (count_col, [len(t) for t in texts])):
+            texts = [t if not f else redact(t, [(s["start"], s["end"]) for s in f]) for t, f in zip(batch.column(text_col).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
+            for name, values in ((text_col, texts), (count_col, [None if t is None else len(t) for t in texts])):
                 if name in batch.schema.names:
                     field = batch.schema.field(name)
                     batch = batch.set_column(batch.schema.get_field_index(name), field, pa.array(values, field.type))
-            yield batch.drop_columns(["found_in", "found_spans"])
+            yield batch.drop_columns([spans])
 
-    return common.map_arrow(hit, run, docs.schema).unionByName(common.matching(docs, ids, id_col, False))
+    return common.map_arrow(hit, run, docs.schema).unionByName(clean)
 
 
 def joined(spans: str) -> Column:
