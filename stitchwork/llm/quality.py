@@ -39,8 +39,9 @@ SCALE = 1_000_000
 
 
 def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, words, hashed (the words' 64-bit hashes)."""
-    named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
+    """doc_id, text, words, hashed (the words' 64-bit hashes), row (all columns)."""
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"), row)
     # plain replacements and a split at one character are far cheaper than a pattern
     blanks = reduce(lambda c, space: F.replace(c, F.lit(space), F.lit(" ")), SPACES[1:], F.col("text"))
     worded = named.withColumn("words", F.array_remove(F.split(blanks, " "), ""))
@@ -98,15 +99,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
 
 def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base rules' columns, base_failed, score, kept for each row."""
+    """doc_id, the base rules' columns, base_failed, score, kept, row (all columns of docs) for each row."""
     ratios = log_ratios(docs, trusted, id_col, text_col)
     grams = (2 * F.size("words") - 1).cast("long").alias("n_grams")
-    both = base_rules(docs, id_col, text_col, buckets().alias("buckets"), grams).withColumn("ratios", ratios.scalar())
+    both = base_rules(docs, id_col, text_col, buckets().alias("buckets"), grams, F.col("row")).withColumn("ratios", ratios.scalar())
     summed = both.withColumn("total", F.expr("aggregate(buckets, 0L, (sum, b) -> sum + ratios[b])")).drop("buckets", "ratios")
     passes = F.col("total") >= F.lit(round(threshold * SCALE)) * F.col("n_grams")
     scored = summed.withColumn("score", F.when(F.col("n_grams") > 0, F.col("total") / SCALE / F.col("n_grams")))
-    # stored: a filter on the result would else be pushed down, and make nested expressions over and over again
-    return common.stored(scored.withColumn("kept", ~F.col("base_failed") & passes).drop("total", "n_grams"), f"{common.work_dir(docs.sparkSession)}/judged")
+    whole = scored.withColumn("kept", ~F.col("base_failed") & passes).drop("total", "n_grams")
+    # a filter on the result would be pushed down and make nested expressions over and over again; none goes below a generator
+    return whole.select(F.inline(F.array(F.struct(*whole.columns))))
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +116,4 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(common.table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return judged(common.table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).drop("row")

@@ -52,6 +52,9 @@ def test_ledger_scans_each_blob_once_per_version_of_rules(spark, hard, nothing,
     assert sorted(len(r.found) for r in found) == [0, 0, 1, 1, 1]
     assert secrets.Ledger(spark, folder).findings().count() == known + 2  # "" was there
     assert secrets.Ledger(spark, folder, 2).findings().count() == 0
+    ledger = secrets.Ledger(spark, folder)  # two scans at a time
+    common.stored(ledger.findings(), f"{folder}-copy").write.mode("append").parquet(ledger.path)
+    assert sorted(len(r.found) for r in ledger.scan(versions).collect()) == [0, 0, 1, 1, 1]
     assert secrets.Ledger(spark, folder).scan(nothing, "doc_id", None).collect() == []
 
 
@@ -63,6 +66,9 @@ def test_redaction(spark, hard, documents):
         spans = brute_spans(t or "")
         assert (rows[i].text == t) == (not spans)
         assert rows[i].n_chars == (None if t is None else len(rows[i].text)) and not brute_spans(rows[i].text or "")
+    rows = [(None, "password=abcdefghijklmnop x"), (1, "a harmless text that is long"), (1, "token: abcdefghijklmnop"), (1, "token: abcdefghijklmnop"), (2, None)]
+    out = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string"), secrets.Ledger(spark, f"{common.work_dir(spark)}/ledger")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, "[redacted] x"), (1, "[redacted]"), (1, "[redacted]"), (1, "a harmless text that is long"), (2, "")]
     assert secrets.redact("0123456789", [(1, 4), (2, 3), (6, 8)]) == "0[redacted]45[redacted]89"
 
 
