@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns of docs.
-Rows without a doc_id can't be told apart and go in the first stage. An empty table stays empty.
+Rows without a doc_id go through all stages, but are linked with no near copy. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from stitchwork.llm import common, exact_dedup, near_dedup, packing, quality, se
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rejected = quality.judged(docs, quality.trusted_ids(spark, sf_dir)).where("not kept").select("doc_id")
-    return common.matching(docs.where("doc_id is not null"), common.stored(rejected, common.work_dir(spark)), "doc_id", False)
+    """Documents that the quality rules keep, each row judged by itself."""
+    return quality.judged(docs, quality.trusted_ids(spark, sf_dir)).where("kept").select("row.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
