@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from stitchwork.plans import queries_data, queries_matching  # noqa: E402, F401
+from stitchwork.plans import queries_data, queries_files, queries_matching  # noqa: E402, F401

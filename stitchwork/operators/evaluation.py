@@ -80,6 +80,59 @@ def containment(reference: DataFrame, extracted: DataFrame) -> DataFrame:
     return ref.join(best, F.col("t") == F.col("table"), "left").select(F.col("t").alias("table"), "cells", F.round(F.coalesce("common", F.lit(0)) / F.col("cells"), 6).alias("recall"))
 
 
+def relation_scores(reference: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(table, extracted, correct, created, total, precision, recall, f1) of each reference table and the extracted one that it is
+    mapped to: tables by a maximum matching on their common cells, rows by their keys. A reference table without one has zeros.
+    Both: table, row, column, v."""
+    from stitchwork.operators.ranking import maximum_matching
+
+    met = reference.join(extracted.select(F.col("table").alias("e"), "row", "column", F.col("v").alias("w")), ["row", "column"]).where("v = w")
+    common = met.groupBy("table", "e").agg(F.count("*").cast("double").alias("score"))  # a row for each pair of tables
+    chosen = maximum_matching(common.select(F.lit(0).alias("all"), F.col("table").alias("l"), F.col("e").alias("r"), "score"), ["all"])
+    size = lambda d, x, n: d.groupBy(F.col("table").alias(x)).agg(F.count("*").alias(n))
+    both = size(reference, "l", "total").join(chosen.select("l", "r", "score"), "l", "left").join(size(extracted, "r", "created"), "r", "left")
+    counts = both.select(F.col("l").alias("table"), F.col("r").alias("extracted"), F.coalesce("score", F.lit(0.0)).alias("correct"), F.coalesce("created", F.lit(0)).alias("created"), "total")
+    return _prf(counts)
+
+
+def table_scores(edges: DataFrame, gold: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of column clusters (components of edges) against gold clusters (id, cluster), by pairs."""
+    from stitchwork.operators.graph import components
+
+    found = components(edges.select("l", "r")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    return pairwise(gold, found)
+
+
+def bake_off(matchers: dict[str, DataFrame], gold: DataFrame) -> DataFrame:
+    """(matcher, correct, created, total, precision, recall, f1) of each matcher's edges (l, r) against gold pairs (l, r)."""
+    pair = lambda d: d.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
+    right = pair(gold).withColumn("right", F.lit(1))
+    all_ = None
+    for name in sorted(matchers):
+        one = pair(matchers[name]).select(F.lit(name).alias("matcher"), "l", "r")
+        all_ = one if all_ is None else all_.unionByName(one)
+    counts = all_.join(right, ["l", "r"], "left").groupBy("matcher").agg(F.count("right").alias("correct"), F.count("*").alias("created"))
+    total = right.agg(F.count("*").alias("total"))
+    return _prf(counts.withColumn("total", total.scalar()))
+
+
+def column_class_scores(candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: of all candidates precision and the largest recall, of each column's best candidate precision, recall and F1, recall
+    over the distinct columns of the gold standard. candidates: col_id, class, score; gold: col_id, class (a column may have several)."""
+    from pyspark.sql import Window
+
+    right = gold.select("col_id", "class", F.lit(1).alias("right")).distinct()
+    first = F.row_number().over(Window.partitionBy("col_id").orderBy(F.desc("score"), "class"))
+    marked = candidates.join(right, ["col_id", "class"], "left").withColumn("top", (first == 1).cast("int"))
+    n = gold.agg(F.countDistinct("col_id").alias("n"))
+    sums = marked.agg(
+        F.count("right").alias("all_correct"), F.count("*").alias("all_created"), F.countDistinct(F.when(F.col("right") == 1, F.col("col_id"))).alias("reached"),
+        F.coalesce(F.sum(F.when(F.col("right") == 1, F.col("top"))), F.lit(0)).alias("correct"), F.coalesce(F.sum("top"), F.lit(0)).alias("created"),
+    ).withColumn("total", n.scalar())
+    six = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return _prf(sums).select(six("all_correct", "all_created").alias("all_precision"), six("reached", "total").alias("max_recall"), "precision", "recall", "f1")
+
+
 def weighted_macro(scores: DataFrame) -> DataFrame:
     """Mean recall and the mean weighted by cells."""
     return scores.agg(F.round(F.avg("recall"), 6).alias("macro"), F.round(F.try_divide(F.sum(F.col("recall") * F.col("cells")), F.sum("cells")), 6).alias("weighted"))

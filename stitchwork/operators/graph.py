@@ -11,32 +11,41 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed to the shared folder that the session names; a temporary one only where none is set."""
+    """Checkpointed to the shared folder that the session names; a temporary one is made only in local mode."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stitchwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="stitchwork-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component), the component named by its smallest node. edges: l, r.
+    """(node, component), the component named by its smallest node. edges: l, r; null ends are left out.
 
-    Each round hooks every node to the smallest label around it and jumps to that label's own label; rounds stop when nothing changes.
+    Each round hooks every node to its smallest neighbour, if that is smaller, and follows hooks a few steps; the graph then shrinks to the
+    nodes that others hook to, so that later rounds join fewer edges, a hub's too, until none is left.
     """
-    both = edges.select("l", "r").unionByName(edges.select(F.col("r").alias("l"), F.col("l").alias("r"))).distinct()
-    both = _cut(both.where("l is not null and r is not null"))
-    labels = both.select(F.col("l").alias("node")).distinct().withColumn("component", F.col("node"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "n"), F.col("r") == F.col("n")).groupBy("l").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("l")).select("node", "component", F.least("component", "near").alias("to"))
-        jump = hooked.select(F.col("node").alias("m"), F.col("to").alias("beyond"))
-        new = _cut(hooked.join(jump, F.col("to") == F.col("m")).select("node", F.col("beyond").alias("new"), "component"))
-        changed = not new.where("new != component").isEmpty()
-        labels = new.select("node", F.col("new").alias("component"))
-        if not changed:
-            return labels
+    both = edges.select("l", "r").where("l is not null and r is not null")
+    nodes = both.select(F.col("l").alias("node")).union(both.select("r")).distinct()
+    labels = _cut(nodes.withColumn("component", F.col("node")))
+    two_ways = lambda e: e.unionByName(e.select(F.col("r").alias("l"), F.col("l").alias("r"))).distinct()
+    left = _cut(two_ways(both.where("l != r")))
+    while not left.isEmpty():
+        hooks = _cut(left.groupBy(F.col("l").alias("n")).agg(F.min("r").alias("least")).select("n", F.least("n", "least").alias("to")))
+        for _ in range(3):
+            beyond = hooks.select(F.col("n").alias("m"), F.col("to").alias("beyond"))
+            hooks = _cut(hooks.join(beyond, F.col("to") == F.col("m")).select("n", F.col("beyond").alias("to")))
+        labels = _cut(labels.join(hooks, F.col("component") == F.col("n"), "left").select("node", F.coalesce("to", "component").alias("component")))
+        ends = left.join(hooks, F.col("l") == F.col("n")).select(F.col("to").alias("x"), "r")
+        ends = ends.join(hooks, F.col("r") == F.col("n")).select(F.col("x").alias("l"), F.col("to").alias("r"))
+        left = _cut(ends.where("l != r").distinct())
+    return labels
 
 
 def closure_pairs(edges: DataFrame) -> DataFrame:
@@ -52,14 +61,16 @@ def missing_transitive_edges(edges: DataFrame) -> DataFrame:
     return closure_pairs(edges).where("l < r").join(known, ["l", "r"], "left_anti")
 
 
-def superclasses(hierarchy: DataFrame, most: int = 32) -> DataFrame:
-    """(child, ancestor, depth) of a hierarchy (child, parent) without cycles."""
-    out = step = hierarchy.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+def superclasses(hierarchy: DataFrame) -> DataFrame:
+    """(child, ancestor, depth) of a hierarchy (child, parent), as deep as it goes; one with a cycle is refused."""
+    out = step = _cut(hierarchy.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     up = hierarchy.select(F.col("child").alias("c"), "parent")
-    for depth in range(2, most + 1):
+    depth = 1
+    while not step.isEmpty():
+        if not step.where("child = ancestor").isEmpty():
+            raise ValueError("the class hierarchy has a cycle")
+        depth += 1
         step = _cut(step.join(up, F.col("ancestor") == F.col("c")).select("child", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")))
-        if step.isEmpty():
-            break
         out = out.unionByName(step)
     return out
 

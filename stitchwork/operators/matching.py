@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stitchwork.functions import text
-from stitchwork.operators import ranking, vectors
+from stitchwork.operators import graph, ranking, vectors
 
 
 def to_cells(df: DataFrame, table_id: int, row: str, columns: list[str], prefix: str) -> DataFrame:
@@ -34,12 +34,13 @@ def value_matches(cells: DataFrame) -> DataFrame:
     return ranking.mutual_best(value_overlap(cells))
 
 
-def value_cosine(cells: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Columns of different tables by the TF-IDF cosine of their cells' tokens."""
-    tokens = cells.select(F.col("col_id").alias("owner"), "table_id", F.explode(text.tokens(F.col("v"))).alias("token"))
-    v = vectors.tf_idf(vectors.vectors(tokens), vectors.idf(vectors.vectors(tokens)))
+def value_cosine(cells: DataFrame, threshold: float = 0.2, block_ratio: float | None = None) -> DataFrame:
+    """Columns of different tables by the TF-IDF cosine of their cells' tokens; block_ratio as in vectors.dot_products."""
+    tokens = cells.select(F.col("col_id").alias("owner"), F.explode(text.tokens(F.col("v"))).alias("token"))
+    counted = graph._cut(vectors.vectors(tokens))
+    v = vectors.tf_idf(counted, vectors.idf(counted))
     owner = cells.select("col_id", "table_id").distinct()
-    found = vectors.cosine(v, v, threshold).where("l < r")
+    found = vectors.cosine(v, v, threshold, block_ratio).where("l < r")
     side = lambda x: owner.select(F.col("col_id").alias(x), F.col("table_id").alias(f"{x}_table"))
     return found.join(side("l"), "l").join(side("r"), "r").where("l_table != r_table").select("l", "r", "l_table", "r_table", "score")
 
@@ -79,8 +80,11 @@ def pairwise_refined(edges: DataFrame, labels: DataFrame, columns: DataFrame, di
 
 
 def fully_mapped(edges: DataFrame, columns: DataFrame, rule: str = "both") -> DataFrame:
-    """(l_table, r_table) of tables of which all columns are mapped: of both, of one, or at least one (any), context left out."""
-    own = columns.where("not is_context")
+    """(l_table, r_table) of tables whose columns are mapped: all of both tables but disambiguations (both), all of one but context
+    (one), or at least one that is no context (any). columns: table_id, col_id, header, is_context."""
+    from stitchwork.operators import context
+
+    own = columns.where(~context.is_disambiguation(F.col("header")) if rule == "both" else ~F.col("is_context"))
     sizes = own.groupBy("table_id").agg(F.count("*").alias("n"))
     e = edges.join(own.select(F.col("col_id").alias("l")), "l", "left_semi").join(own.select(F.col("col_id").alias("r")), "r", "left_semi")
     m = e.groupBy("l_table", "r_table").agg(F.countDistinct("l").alias("ml"), F.countDistinct("r").alias("mr"))
@@ -89,6 +93,54 @@ def fully_mapped(edges: DataFrame, columns: DataFrame, rule: str = "both") -> Da
     return m.where(test).select("l_table", "r_table")
 
 
+def most_columns_mapped(edges: DataFrame, columns: DataFrame, key: str = "FK") -> DataFrame:
+    """(l_table, r_table, score) of tables whose keys are matched with each other and more than one column that the union did not add:
+    score is how many of these. columns: table_id, col_id, header."""
+    from stitchwork.operators import context
+
+    side = lambda x: columns.select(F.col("col_id").alias(x), F.col("header").alias(f"{x}_header"))
+    named = edges.join(side("l"), "l").join(side("r"), "r")
+    own = F.when(~context.is_union_context(F.col("l_header")), F.col("l"))
+    fk = F.coalesce((F.col("l_header") == key) & (F.col("r_header") == key), F.lit(False))
+    sums = named.groupBy("l_table", "r_table").agg(F.countDistinct(own).alias("score"), F.bool_or(fk).alias("keyed"))
+    return sums.where("keyed and score > 1").select("l_table", "r_table", "score")
+
+
+def within_table_clusters(edges: DataFrame, fine: DataFrame) -> DataFrame:
+    """Edges between tables of one cluster. Pairs of tables that a filter keeps attract, by their score, all other matched pairs
+    repel, and clusters are those of H07, made of pairs of tables, which are metadata. fine: l_table, r_table, score (or none for 1)."""
+    from stitchwork.operators import graph
+
+    scored = fine if "score" in fine.columns else fine.withColumn("score", F.lit(1.0))
+    pairs = edges.select("l_table", "r_table").distinct().join(scored, ["l_table", "r_table"], "left").select("l_table", "r_table", F.coalesce("score", F.lit(-1.0)).alias("score"))
+    clusters = graph.signed_clusters([(r["l_table"], r["r_table"], r["score"]) for r in pairs.collect()])
+    kind = dict(edges.dtypes)["l_table"]
+    place = edges.sparkSession.createDataFrame([(t, i) for i, c in enumerate(clusters) for t in sorted(c)], f"t {kind}, c int")
+    side = lambda x: place.select(F.col("t").alias(f"{x}_table"), F.col("c").alias(f"{x}_c"))
+    return edges.join(side("l"), "l_table").join(side("r"), "r_table").where("l_c = r_c").select(*edges.columns)
+
+
+def determinants(source: DataFrame, least: int = 1) -> DataFrame:
+    """(table_id, cols) of dependencies (table_id, det, dep), of candidate keys (table_id, cols; at least two columns are asked for as
+    a rule) or of subject columns (table_id, col_id): distinct sets of at least so many columns, none that determines itself alone."""
+    if "det" in source.columns:
+        trivial = (F.size("det") == 1) & (F.array_sort("det") == F.array_sort("dep"))
+        sets = source.where(~trivial).select("table_id", F.array_sort("det").alias("cols"))
+    elif "cols" in source.columns:
+        sets = source.select("table_id", F.array_sort("cols").alias("cols"))
+    else:
+        sets = source.select("table_id", F.array("col_id").alias("cols"))
+    return sets.where(F.size("cols") >= max(1, least)).distinct()
+
+
+def blocking_tokens(cells: DataFrame, label: str | None = None, prefix: bool = False) -> DataFrame:
+    """(row_id, token) for blocks: tokens of all cells, or of the label column's only, with the table in front if asked for."""
+    own = cells if label is None else cells.where(F.col("col_id") == label)
+    token = F.explode(F.array_distinct(text.tokens(F.col("v")))).alias("t")
+    rows = own.select("table_id", "row_id", token)
+    return rows.select("row_id", (F.concat_ws(":", F.col("table_id").cast("string"), "t") if prefix else F.col("t")).alias("token")).distinct()
+
+
 def key_mapped(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """I14, I12 (key forms), I23, D05: (l_table, r_table, left_key, right_key): whether some key of either table is mapped completely.
     keys: table_id, cols (array of column ids)."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stitchwork.functions import text
 
 #: Words that say nothing about a template.
-STOP_WORDS = tuple("a about an and are as at be by for from how in is it of on or that the this to was what when where who will with".split())
+STOP_WORDS = tuple("a an and as at be but by for i if in into is it no of on or such that the their then there these they this to was will with you".split())
 
 
 def common_substring(values: list[str]) -> str:

@@ -79,3 +79,39 @@ def class_argmax(scores: DataFrame, least: int = 1) -> DataFrame:
     sums = scores.groupBy("table", "class").agg(F.sum("score").alias("score"), F.count("*").alias("n")).where(F.col("n") >= least)
     first = Window.partitionBy("table").orderBy(F.desc("score"), "class")
     return sums.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+
+
+def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Of each group its values, how often and their share."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    return counts.join(total, by).select(*by, value, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def table_statistics(cells: DataFrame) -> DataFrame:
+    """(table_id, n_rows, n_columns, n_cells) of cells (table_id, row_id, col_id, v)."""
+    return cells.groupBy("table_id").agg(F.countDistinct("row_id").alias("n_rows"), F.countDistinct("col_id").alias("n_columns"), F.count("v").alias("n_cells"))
+
+
+def dependency_statistics(dependencies: DataFrame) -> DataFrame:
+    """(table_id, n_dependencies, n_determinant, n_dependants) of dependencies (table_id, det, dep): how many, mean sizes of both sides."""
+    mean = lambda c: F.round(F.avg(F.size(c)), 6)
+    return dependencies.groupBy("table_id").agg(F.count("*").alias("n_dependencies"), mean("det").alias("n_determinant"), mean("dep").alias("n_dependants"))
+
+
+def dependant_pairs(dependencies: DataFrame) -> DataFrame:
+    """(l, r, n): attributes that depend on the same determinants, in how many dependencies (table_id, det, dep)."""
+    one = dependencies.select("table_id", "det", F.explode("dep").alias("l"))
+    other = dependencies.select(F.col("table_id").alias("t"), F.col("det").alias("d"), F.explode("dep").alias("r"))
+    return one.join(other, (F.col("table_id") == F.col("t")) & (F.col("det") == F.col("d")) & (F.col("l") < F.col("r"))).groupBy("l", "r").agg(F.count("*").alias("n"))
+
+
+def fusion_statistics(clusters: DataFrame) -> DataFrame:
+    """(size, n) of fused clusters (id, cluster): how many have so many members."""
+    return clusters.groupBy("cluster").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+def numbered(items: DataFrame, order: list) -> DataFrame:
+    """items with an id from 0 in an order (tables by falling size, dependencies by their text). Items are metadata: tables and
+    dependencies, not rows."""
+    return items.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)

@@ -132,6 +132,13 @@ def clustered_union(tables: dict[str, DataFrame], clusters: dict[str, str]) -> d
     return out
 
 
+def clustered_rows(rows: DataFrame, schemas: DataFrame, clusters: DataFrame) -> DataFrame:
+    """L02 in one plan: (cluster, schema, row, n_tables): distinct rows of the union tables, one for each cluster of tables and schema, and
+    how many tables a row came from. rows: table_id, row; schemas: table_id, schema; clusters: table_id, cluster."""
+    placed = rows.join(schemas.select("table_id", "schema"), "table_id").join(clusters.select("table_id", "cluster"), "table_id")
+    return placed.groupBy("cluster", "schema", "row").agg(F.countDistinct("table_id").alias("n_tables"))
+
+
 def entity_groups(edges: DataFrame, columns: DataFrame) -> DataFrame:
     """(table_id, entity): tables of a component of matching columns describe one entity type. columns: table_id, col_id."""
     side = lambda x: columns.select(F.col("col_id").alias(x), F.col("table_id").alias(f"{x}_t"))

@@ -68,7 +68,8 @@ best AS (SELECT length, pos, max(s) AS top FROM support GROUP BY ALL),
 n AS (SELECT length, count(DISTINCT page_id) AS n FROM sized GROUP BY ALL),
 split AS (SELECT length, pos FROM (SELECT length, pos, top, n, row_number() OVER (PARTITION BY length ORDER BY top DESC, pos) AS k FROM best JOIN n USING (length)) WHERE k = 1 AND top >= 0.1 * n)
 SELECT page_id, sized.length || ':' || coalesce(max(CASE WHEN split.pos IS NOT NULL THEN split.pos || '=' || value END), '*') AS cluster
-FROM sized LEFT JOIN split ON sized.length = split.length AND sized.pos = split.pos GROUP BY page_id, sized.length""")
+FROM sized LEFT JOIN split ON sized.length = split.length AND sized.pos = split.pos GROUP BY page_id, sized.length
+UNION ALL SELECT page_id, '0:*' FROM pages WHERE page_id NOT IN (SELECT page_id FROM parts)""")
 def h14_url_clusters(spark, sf_dir):
     return context.url_clusters(table(spark, sf_dir, "pages"))
 
@@ -330,7 +331,7 @@ DEPENDANTS = ["o_orderstatus", "c_name", "c_nationkey", "c_mktsegment", "n_name"
 
 @query(f"WITH {DENORMALISED} " + g3_sql("o_custkey", DEPENDANTS, "d"))
 def g13_approximate_dependencies(spark, sf_dir):
-    return dependencies.g3_rates(_denormalised(spark, sf_dir), ["o_custkey"], DEPENDANTS)
+    return dependencies.g3_rates(_denormalised(spark, sf_dir), [(["o_custkey"], DEPENDANTS)])
 
 
 LATTICE = ["o_orderstatus", "o_orderpriority", "o_custkey"]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stitchwork.catalog import query
 from stitchwork.functions import text
-from stitchwork.operators import evaluation, graph, matching, stitching, vectors
+from stitchwork.operators import context, evaluation, graph, matching, stitching, vectors
 from stitchwork.plans.queries_data import PAIRS, _pairs, table
 
 COLUMNS = {"customer": ["c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_name", "s_nationkey"], "nation": ["n_name", "n_nationkey", "n_regionkey"], "orders": ["o_custkey", "o_orderstatus"]}
@@ -98,50 +98,76 @@ def i48_rescored_edges(spark, sf_dir):
     return vectors.rescored(edges, vectors.vectors(_tokens(spark, sf_dir)), 0.01).withColumn("score", F.round("score", 6))
 
 
-HEADERS = [(0, 0, "name", False), (0, 1, "nation", False), (0, 2, "uri 0", True), (1, 0, "name", False), (1, 1, "nation", False), (1, 2, "uri 0", True), (2, 0, "name", False), (2, 1, "region", False), (3, 0, "name", False), (3, 1, None, False)]
-COLUMN_ROWS = "cols(table_id, ord, header, is_context) AS (VALUES " + ", ".join(f"({t}, {o}, {'NULL' if h is None else repr(h)}, {str(c).lower()})" for t, o, h, c in HEADERS) + "), columns AS (SELECT *, table_id || '~Col' || ord AS col_id FROM cols)"
+COLUMN_ROWS = """heads AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INT) AS table_id, p_type AS header FROM part UNION SELECT CAST(substr(p_brand, 7) AS INT), 'Disambiguation of ' || p_type FROM part WHERE p_size = 50 UNION SELECT CAST(substr(p_brand, 7) AS INT), 'uri 0' FROM part),
+columns AS (SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY header) - 1 AS INT) AS ord, header, header LIKE 'uri %' OR header LIKE 'Disambiguation of %' AS is_context, table_id || '~Col' || (row_number() OVER (PARTITION BY table_id ORDER BY header) - 1) AS col_id FROM heads)"""
 
 
-def _columns(spark) -> DataFrame:
-    df = spark.createDataFrame(HEADERS, "table_id int, ord int, header string, is_context boolean")
-    return df.withColumn("col_id", F.concat(F.col("table_id").cast("string"), F.lit("~Col"), F.col("ord").cast("string")))
+def _columns(spark, sf_dir) -> DataFrame:
+    """Brands as tables, whose columns are the types of their parts, one for the site, and disambiguations of types with large parts."""
+    p = table(spark, sf_dir, "part").withColumn("table_id", F.expr("cast(substr(p_brand, 7) as int)"))
+    heads = p.select("table_id", F.col("p_type").alias("header")).union(p.where("p_size = 50").select("table_id", F.concat(F.lit("Disambiguation of "), "p_type"))).union(p.select("table_id", F.lit("uri 0"))).distinct()
+    ord_ = F.row_number().over(Window.partitionBy("table_id").orderBy("header")) - 1
+    return heads.withColumn("ord", ord_).withColumn("is_context", context.is_context(F.col("header"))).withColumn("col_id", F.concat(F.col("table_id").cast("string"), F.lit("~Col"), F.col("ord").cast("string")))
+
+
+LABELS = "labels_ AS (SELECT a.col_id AS l, b.col_id AS r, a.table_id AS l_table, b.table_id AS r_table, a.header AS h, a.is_context AS ctx FROM columns a JOIN columns b ON a.header = b.header AND a.table_id < b.table_id)"
 
 
 @query(f"WITH {COLUMN_ROWS} SELECT a.col_id AS l, b.col_id AS r, a.table_id AS l_table, b.table_id AS r_table, 1.0::DOUBLE AS score FROM columns a JOIN columns b ON a.header = b.header AND a.table_id < b.table_id WHERE NOT a.is_context AND NOT b.is_context")
 def i04_label_matches(spark, sf_dir):
-    return matching.label_matches(_columns(spark))
+    return matching.label_matches(_columns(spark, sf_dir))
 
 
 @query(f"WITH {COLUMN_ROWS}, s AS (SELECT *, string_agg(coalesce(header, ''), '+' ORDER BY ord) OVER (PARTITION BY table_id) AS schema FROM columns) SELECT a.col_id AS l, b.col_id AS r, a.table_id AS l_table, b.table_id AS r_table, 1.0::DOUBLE AS score FROM s a JOIN s b ON a.schema = b.schema AND a.ord = b.ord AND a.header IS NOT DISTINCT FROM b.header AND a.table_id < b.table_id".replace("string_agg(coalesce(header, ''), '+' ORDER BY ord) OVER (PARTITION BY table_id)", "(SELECT string_agg(coalesce(c.header, ''), '+' ORDER BY c.ord) FROM columns c WHERE c.table_id = columns.table_id)"))
 def i20_union_matches(spark, sf_dir):
-    return matching.union_matches(_columns(spark))
+    return matching.union_matches(_columns(spark, sf_dir))
 
 
 @query(f"WITH {COLUMN_ROWS} SELECT a.header AS l, b.header AS r, count(*) AS n FROM columns a JOIN columns b ON a.table_id = b.table_id AND a.header < b.header GROUP BY 1, 2")
 def h15_disjoint_headers(spark, sf_dir):
-    return graph.disjoint_headers(_columns(spark).select("table_id", "header"))
+    return graph.disjoint_headers(_columns(spark, sf_dir).select("table_id", "header"))
 
 
 @query(f"WITH {COLUMN_ROWS} SELECT table_id, string_agg(coalesce(header, ''), '+' ORDER BY ord) AS schema, coalesce(string_agg(coalesce(header, ''), '+' ORDER BY ord) FILTER (NOT is_context), '') AS own_schema FROM columns GROUP BY 1")
 def b23_schema_strings(spark, sf_dir):
-    return stitching.schema_strings(_columns(spark))
+    return stitching.schema_strings(_columns(spark, sf_dir))
 
 
 @query(f"WITH {COLUMN_ROWS}, s AS (SELECT table_id, string_agg(coalesce(header, ''), '+' ORDER BY ord) AS schema FROM columns GROUP BY 1) SELECT schema, count(*) AS n FROM s GROUP BY 1")
 def e09_schema_frequency(spark, sf_dir):
-    return stitching.schema_strings(_columns(spark)).groupBy("schema").agg(F.count("*").alias("n"))
+    return stitching.schema_strings(_columns(spark, sf_dir)).groupBy("schema").agg(F.count("*").alias("n"))
+
 
+MAPPED = """m AS (SELECT l_table, r_table, count(DISTINCT l) FILTER (h NOT LIKE 'Disambiguation of %') AS both_, count(DISTINCT l) FILTER (NOT ctx) AS own FROM labels_ GROUP BY 1, 2),
+n AS (SELECT table_id, count(*) FILTER (header NOT LIKE 'Disambiguation of %') AS both_, count(*) FILTER (NOT is_context) AS own FROM columns GROUP BY 1)"""
 
-@query(f"""WITH {COLUMN_ROWS}, e AS (SELECT a.col_id AS l, b.col_id AS r, a.table_id AS l_table, b.table_id AS r_table FROM columns a JOIN columns b ON a.header = b.header AND a.table_id < b.table_id WHERE NOT a.is_context AND NOT b.is_context),
-n AS (SELECT table_id, count(*) AS n FROM columns WHERE NOT is_context GROUP BY 1) SELECT l_table, r_table FROM e JOIN n a ON l_table = a.table_id JOIN n b ON r_table = b.table_id GROUP BY l_table, r_table, a.n, b.n HAVING count(DISTINCT l) = a.n AND count(DISTINCT r) = b.n""")
+
+@query(f"WITH {COLUMN_ROWS}, {LABELS}, {MAPPED} SELECT l_table, r_table FROM m JOIN n a ON l_table = a.table_id JOIN n b ON r_table = b.table_id WHERE m.both_ = a.both_ AND m.both_ = b.both_")
 def i12_fully_mapped(spark, sf_dir):
-    return matching.fully_mapped(matching.label_matches(_columns(spark)), _columns(spark))
+    return matching.fully_mapped(matching.label_matches(_columns(spark, sf_dir), True), _columns(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {COLUMN_ROWS}, {LABELS}, {MAPPED} SELECT l_table, r_table FROM m JOIN n a ON l_table = a.table_id JOIN n b ON r_table = b.table_id WHERE m.own = a.own OR m.own = b.own")
+def i12_one_mapped(spark, sf_dir):
+    return matching.fully_mapped(matching.label_matches(_columns(spark, sf_dir), True), _columns(spark, sf_dir), "one")
+
+
+@query(f"WITH {COLUMN_ROWS}, {LABELS}, {MAPPED} SELECT l_table, r_table FROM m WHERE own >= 1")
+def i12_any_mapped(spark, sf_dir):
+    return matching.fully_mapped(matching.label_matches(_columns(spark, sf_dir), True), _columns(spark, sf_dir), "any")
+
+
+@query(f"WITH {COLUMN_ROWS}, {LABELS} SELECT l_table, r_table, count(DISTINCT l) FILTER (h NOT LIKE 'uri %') AS score FROM labels_ GROUP BY 1, 2 HAVING bool_or(h = 'ECONOMY') AND count(DISTINCT l) FILTER (h NOT LIKE 'uri %') > 1")
+def i12_most_columns_mapped(spark, sf_dir):
+    c = _columns(spark, sf_dir)
+    return matching.most_columns_mapped(matching.label_matches(c, True), c, "ECONOMY")
+
+
+@query(f"""WITH {COLUMN_ROWS}, {LABELS}, k AS (SELECT table_id, list(col_id) AS cols FROM columns WHERE header IN ('ECONOMY', 'Disambiguation of ECONOMY') GROUP BY 1), mm AS (SELECT l_table, r_table, list(l) AS ls, list(r) AS rs FROM labels_ WHERE NOT ctx GROUP BY 1, 2)
+SELECT l_table, r_table, coalesce(list_has_all(ls, a.cols), false) AS left_key, coalesce(list_has_all(rs, b.cols), false) AS right_key FROM mm LEFT JOIN k a ON a.table_id = l_table LEFT JOIN k b ON b.table_id = r_table""")
 def i12_key_mapped(spark, sf_dir):
-    c = _columns(spark)
-    keys = c.where("header = 'name'").select("table_id", F.array("col_id").alias("cols"))
+    c = _columns(spark, sf_dir)
+    keys = c.where("header in ('ECONOMY', 'Disambiguation of ECONOMY')").groupBy("table_id").agg(F.collect_list("col_id").alias("cols"))
     return matching.key_mapped(matching.label_matches(c), keys)
 
 
@@ -179,16 +205,32 @@ def i37_cell_overlap(spark, sf_dir):
     return matching.cell_overlap(c.where("table_id = 1"), c.where("table_id = 2"))
 
 
-@query()
+ENTITIES = r"""web AS (SELECT DISTINCT 'part' AS class, p_name || ' ' || p_type AS label FROM part), kb AS (SELECT DISTINCT 'part' AS class, p_type || ' ' || p_name || ' ' || lower(p_brand) AS label FROM part),
+tok(side, class, id, tokens) AS (SELECT 'w', class, label, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) FROM web
+  UNION ALL SELECT 'k', class, label, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) FROM kb),
+uniq AS (SELECT side, class, tokens, min(id) AS id FROM tok GROUP BY ALL),
+sc AS (SELECT w.class, w.id AS l, k.id AS r, round(len(list_intersect(w.tokens, k.tokens)) / (len(w.tokens) + len(k.tokens) - len(list_intersect(w.tokens, k.tokens))), 6) AS score FROM uniq w JOIN uniq k ON w.class = k.class AND w.side = 'w' AND k.side = 'k')"""
+
+
+def _entities(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    side = lambda *cols: p.select(F.concat_ws(" ", *cols).alias("label")).distinct().select(F.col("label").alias("id"), F.lit("part").alias("class"), "label")
+    return side("p_name", "p_type"), side("p_type", "p_name", F.lower("p_brand"))
+
+
+@query(f"""WITH {ENTITIES}, first AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS a, row_number() OVER (PARTITION BY r ORDER BY score DESC, l) AS b FROM sc WHERE score >= 0.6) SELECT l, r, class, score FROM first WHERE a = 1 AND b = 1""")
 def i24_linked_entities(spark, sf_dir):
-    kind = lambda t, k, n: table(spark, sf_dir, t).select(F.col(k).alias("id"), F.lit("place").alias("class"), F.col(n).alias("label"))
-    return matching.linked_entities(kind("nation", "n_nationkey", "n_name"), kind("nation", "n_nationkey", "n_name"))
+    return matching.linked_entities(*_entities(spark, sf_dir))
 
 
-@query()
+@query("""WITH q AS (SELECT DISTINCT p_name AS id FROM part), qt AS (SELECT DISTINCT id, unnest(string_split(id, ' ')) AS t FROM q), it AS (SELECT id AS i, replace(t, 'i', 'y') AS o FROM qt),
+q2 AS (SELECT id || 's' AS q, unnest(list_distinct(string_split(id || 's', ' '))) AS token, id || 's' AS ql FROM q), i2 AS (SELECT replace(id, 'i', 'y') AS i, unnest(list_distinct(string_split(replace(id, 'i', 'y'), ' '))) AS other FROM q),
+met AS (SELECT q, i, min(levenshtein(token, other)) AS edits, count(DISTINCT token) AS common FROM q2 JOIN i2 ON levenshtein(token, other) <= 2 GROUP BY 1, 2)
+SELECT q, i, common, CAST(edits AS INT) AS edits, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY common DESC, edits, levenshtein(q, i), i) AS rank FROM met) WHERE rank <= 5""")
 def a17_fuzzy_lookup(spark, sf_dir):
-    kind = lambda n: table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), n.alias("label"), F.lit("place").alias("class"))
-    return matching.fuzzy_lookup(kind(F.concat(F.col("n_name"), F.lit("s"))), kind(F.col("n_name")))
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    kind = lambda n: names.select(n.alias("id"), n.alias("label"), F.lit("part").alias("class"))
+    return matching.fuzzy_lookup(kind(F.concat(F.col("p_name"), F.lit("s"))), kind(F.replace("p_name", F.lit("i"), F.lit("y"))), 2, 5)
 
 
 COMPONENTS = f"WITH RECURSIVE {PAIRS}, both_ AS (SELECT l, r FROM edges UNION SELECT r, l FROM edges), reach(a, b) AS (SELECT l, r FROM both_ UNION SELECT a, r FROM reach JOIN both_ ON b = l)"
@@ -233,9 +275,9 @@ def h12_propagated_scores(spark, sf_dir):
 
 @query()
 def h10_refined_edges(spark, sf_dir):
-    c = _columns(spark)
+    c = _columns(spark, sf_dir)
     labels = matching.label_matches(c, True)
-    wrong = spark.createDataFrame([("0~Col0", "1~Col1"), ("2~Col1", "1~Col1")], "l string, r string")
+    wrong = c.where("table_id = 1 and ord = 0").select(F.col("col_id").alias("l")).join(c.where("table_id = 2 and ord = 1").select(F.col("col_id").alias("r")), F.lit(True))
     return graph.refined(labels.select("l", "r").unionByName(wrong), c, graph.disjoint_headers(c.select("table_id", "header")))
 
 
@@ -280,10 +322,10 @@ def l11_rewritten_keys(spark, sf_dir):
 
 def _clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("cluster")), c.where("c_custkey % 11 != 0").select(F.col("c_custkey").alias("id"), ((F.col("c_nationkey") + (F.col("c_custkey") % 13 == 0).cast("int")) % 20).alias("cluster"))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("cluster")), c.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), ((F.col("c_nationkey") + (F.col("c_custkey") % 13 == 0).cast("int")) % 20).alias("cluster"))
 
 
-CLUSTERS = "gold AS (SELECT c_custkey AS id, c_nationkey AS cluster FROM customer), found AS (SELECT c_custkey AS id, (c_nationkey + CAST(c_custkey % 13 = 0 AS INT)) % 20 AS cluster FROM customer WHERE c_custkey % 11 <> 0)"
+CLUSTERS = "gold AS (SELECT c_custkey AS id, c_nationkey AS cluster FROM customer), found AS (SELECT c_custkey AS id, (c_nationkey + CAST(c_custkey % 13 = 0 AS INT)) % 20 AS cluster FROM customer WHERE c_acctbal > 0)"
 
 
 @query(f"""WITH {CLUSTERS}, x AS (SELECT coalesce(sum(n * (n - 1) / 2), 0)::DOUBLE AS correct FROM (SELECT count(*) AS n FROM gold g JOIN found f USING (id) GROUP BY g.cluster, f.cluster)), y AS (SELECT sum(n * (n - 1) / 2)::DOUBLE AS created FROM (SELECT count(*) AS n FROM found GROUP BY cluster)), z AS (SELECT sum(n * (n - 1) / 2)::DOUBLE AS total FROM (SELECT count(*) AS n FROM gold GROUP BY cluster))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +18,17 @@ def web_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV tables below a folder as cells (path, row_id, ord, v), the first line being row 0; one file is one row here, as the
-    tables are small and many."""
+    """CSV tables below a folder as cells (path, row_id, ord, v), the first line being row 0, quoted fields with commas, quotes
+    and line feeds among them; empty cells are null and empty lines no rows. A file is one row here, as the tables are small and many."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["value"], strict=True):
+                lines = [row for row in csv.reader(io.StringIO(content, newline="")) if row]
+                yield pd.DataFrame([(path, i, j, v or None) for i, row in enumerate(lines) for j, v in enumerate(row)], columns=["path", "row_id", "ord", "v"])
+
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder, wholetext=True).withColumn("path", F.input_file_name())
-    lines = texts.select("path", F.posexplode(F.split("value", "\r?\n")).alias("row_id", "line")).where("line != ''")
-    return lines.select("path", "row_id", F.posexplode(F.split("line", ",")).alias("ord", "v")).withColumn("v", F.when(F.col("v") != "", F.col("v")))
+    return texts.mapInPandas(parsed, "path string, row_id int, ord int, v string")
 
 
 def table_ids(paths: DataFrame, first: int = 0) -> DataFrame:
