@@ -296,11 +296,6 @@ def f04_mutual_best(spark, sf_dir):
     return ranking.mutual_best(_scored(spark, sf_dir))
 
 
-@query()
-def f05_greedy_one_to_one(spark, sf_dir):
-    return ranking.greedy_one_to_one(_scored(spark, sf_dir), ["l_table", "r_table"])
-
-
 @query()
 def f06_maximum_matching(spark, sf_dir):
     return ranking.maximum_matching(_scored(spark, sf_dir), ["l_table", "r_table"])
