@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from stitchwork.plans import queries_data, queries_files, queries_knowledge, queries_matching, queries_selection  # noqa: E402, F401
+from stitchwork.plans import queries_data, queries_files, queries_knowledge, queries_matching, queries_results, queries_selection  # noqa: E402, F401
