@@ -27,7 +27,7 @@ from stitchwork.llm import common, words
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words kept from one batch to the next; beyond it a worker begins anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 NEVER = np.int32(2**31 - 1)
 
 

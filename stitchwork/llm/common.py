@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch, and characters that one call of a numpy kernel gets (one longer text is a call of its own).
 BATCH_ROWS = 2000
-KERNEL_CHARS = 3_000_000
+KERNEL_CHARS = 1_000_000
 #: The most bytes that an operator broadcasts; beyond it the same rows are joined by a shuffle.
 BROADCAST_BYTES = 8_000_000
 
@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="stitchwork-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stitchwork/{uuid.uuid4().hex}"

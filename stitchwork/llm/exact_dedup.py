@@ -27,11 +27,13 @@ from stitchwork.llm import common
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-#: Settings of the state's store. Without fallocate an empty store takes a few kB of disk, and not 4 MB for each partition.
+#: Settings of the state's store. Without fallocate an empty store takes a few kB of disk, and not 4 MB for each partition;
+#: small write buffers do the same for memory, which stores keep for a while after their query.
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": STORE,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
