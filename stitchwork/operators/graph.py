@@ -3,48 +3,64 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
+import uuid
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed to the shared folder that the session names; a temporary one is made only in local mode."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            import tempfile
+def folder(spark: SparkSession) -> str:
+    """A new folder where the session says that checkpoints go, which driver and executors share; a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="stitchwork-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/stitchwork/{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame, *gone: DataFrame) -> DataFrame:
+    """The rows written and read again: cuts the lineage, outlives a lost executor and has sizes as they are. Steps that are gone by then
+    are removed."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    for step in gone:
+        _forget(step)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
 
-            folder = tempfile.mkdtemp(prefix="stitchwork-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def _forget(step: DataFrame) -> None:
+    p = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step._step)
+    p.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component), the component named by its smallest node. edges: l, r; null ends are left out.
 
-    Each round hooks every node to its smallest neighbour, if that is smaller, and follows hooks a few steps; the graph then shrinks to the
-    nodes that others hook to, so that later rounds join fewer edges, a hub's too, until none is left.
+    Each round hooks every node to its smallest neighbour, if that is smaller, and follows the hooks to their ends, by jumps that double in
+    length. The graph then shrinks to these ends, so that later rounds join fewer edges, a hub's too, until none is left.
     """
     both = edges.select("l", "r").where("l is not null and r is not null")
     nodes = both.select(F.col("l").alias("node")).union(both.select("r")).distinct()
     labels = _cut(nodes.withColumn("component", F.col("node")))
-    two_ways = lambda e: e.unionByName(e.select(F.col("r").alias("l"), F.col("l").alias("r"))).distinct()
-    left = _cut(two_ways(both.where("l != r")))
+    known = both.where("l != r")
+    left = _cut(known.unionByName(known.select(F.col("r").alias("l"), F.col("l").alias("r"))).distinct())
     while not left.isEmpty():
-        hooks = _cut(left.groupBy(F.col("l").alias("n")).agg(F.min("r").alias("least")).select("n", F.least("n", "least").alias("to")))
-        for _ in range(3):
+        hooks = _cut(left.groupBy(F.col("l").alias("n")).agg(F.min("r").alias("least")).select("n", F.least("n", "least").alias("to"), F.lit(True).alias("moved")))
+        while not hooks.where("moved").isEmpty():
             beyond = hooks.select(F.col("n").alias("m"), F.col("to").alias("beyond"))
-            hooks = _cut(hooks.join(beyond, F.col("to") == F.col("m")).select("n", F.col("beyond").alias("to")))
-        labels = _cut(labels.join(hooks, F.col("component") == F.col("n"), "left").select("node", F.coalesce("to", "component").alias("component")))
+            hooks = _cut(hooks.join(beyond, F.col("to") == F.col("m")).select("n", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")), hooks)
+        labels = _cut(labels.join(hooks, F.col("component") == F.col("n"), "left").select("node", F.coalesce("to", "component").alias("component")), labels)
         ends = left.join(hooks, F.col("l") == F.col("n")).select(F.col("to").alias("x"), "r")
         ends = ends.join(hooks, F.col("r") == F.col("n")).select(F.col("x").alias("l"), F.col("to").alias("r"))
-        left = _cut(ends.where("l != r").distinct())
+        left = _cut(ends.where("l != r").distinct(), left, hooks)
+    _forget(left)
     return labels
 
 

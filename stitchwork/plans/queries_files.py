@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stitchwork.catalog import query
-from stitchwork.operators import graph, vectors
+from stitchwork.operators import vectors
+from stitchwork.operators.graph import folder
 from stitchwork.plans.queries_data import table
 from stitchwork.sources import files
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder where checkpoints go, which driver and executors share."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        graph._cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-
-
 def lines(df: DataFrame, *columns, sep: str = "\t") -> str:
     """The columns written as lines of text; the folder that they are in."""
     path = folder(df.sparkSession)

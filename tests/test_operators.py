@@ -45,7 +45,7 @@ def test_url_context(spark):
     pages = spark.createDataFrame([(1, "http://s/a-b/2001?x=1&x=2&y=%20z"), (2, "http://s/a-b/2002"), (3, "http://s/c/2002"), (4, "http://s")], "page_id int, url string")
     assert sorted((r.page_id, r.pos, r.value) for r in context.uri_path_parts(pages).collect())[:2] == [(1, 0, "a b"), (1, 1, "2001")]
     assert sorted((r.header, r.value) for r in context.uri_query_parts(pages).collect()) == [("uri x", "1"), ("uri x[2]", "2"), ("uri y", " z")]
-    assert {r.page_id: r.cluster for r in context.url_clusters(pages).collect()} == {1: "2:0=a b", 2: "2:0=a b", 3: "2:0=c"}
+    assert {r.page_id: r.cluster for r in context.url_clusters(pages).collect()} == {1: "2:0=a b", 2: "2:0=a b", 3: "2:0=c", 4: "0:*"}
     headers = spark.createDataFrame([(h,) for h in ("Page Title", "uri 0", "uri year", "Disambiguation of x", "name", "uri")], "h string")
     assert [r[0] for r in headers.where(context.is_context(F.col("h"))).collect()] == ["Page Title", "uri 0", "uri year", "Disambiguation of x"]
 
