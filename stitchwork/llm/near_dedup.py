@@ -8,12 +8,13 @@ but need-1 of them: passages that many documents share make no long lists.
 
 The pairs of short lists are candidates. Of long lists no pairs are made: documents gather at their longest list, and those that gather
 at one are compared with those at another if the two have a document in common, in tiles of some against some, which give back only
-links enough to join what is linked. So no link between different texts is lost. Candidates must share enough of the K smallest values of
+links enough to join what is linked. Where many gather, all are measured against one of them first, and what that settles is not compared
+again. So no link between different texts is lost. Candidates must share enough of the K smallest values of
 their union, and what is left is confirmed on the full sets of hashes.
 
 Lower case is for A-Z only. With fewer than five words, the whole sequence is the only shingle; without words (or for a null or empty
 text) the set is empty, linked with nothing, and the document is kept. Equal texts have equal sets. doc_id identifies a row; rows with a
-null doc_id are linked with nothing and not kept. An empty table gives no rows. Other columns are left out, whatever their names.
+null doc_id are linked with nothing and not kept. Very long texts are read whole. An empty table gives no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ NEED = 29
 SHORT_LIST = 24
 #: Documents on either side of a tile, about.
 TILE = 256
+#: Groups by distance from a pivot, from 0 to 1.
+BANDS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,26 +233,90 @@ def short_links(lists: DataFrame, chosen: DataFrame) -> DataFrame:
     return dealt(sets.unionByName(pairs.select("tile", "a", "b", F.lit(2).alias("side"), F.lit(None).cast("array<long>").alias("shingles"))), kind)
 
 
+def measured(rows: DataFrame, kind: str) -> DataFrame:
+    """(a, b, far, linked): for each tile the distance, 1 less the Jaccard similarity, of its document of side 0 from all those of side 1.
+    rows: tile, a, side, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, first, own = None, None, None
+        for batch in batches:
+            shingles, ids = batch.column("shingles"), batch.column("a")
+            flat, offsets = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
+            begin, a, far, linked = [], [], [], []
+            for i, (t, doc, side) in enumerate(zip(batch.column("tile").to_pylist(), ids.to_pylist(), batch.column("side").to_pylist(), strict=True)):
+                values = flat[offsets[i] : offsets[i + 1]]
+                if side == 0:
+                    tile, first, own = t, doc, values.copy()
+                elif t == tile:
+                    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                    both = int((own[at] == values).sum())
+                    union = len(own) + len(values) - both
+                    begin.append(i)
+                    a.append(first)
+                    far.append(1 - both / union)
+                    linked.append(100 * both >= PERCENT * union)
+            yield pa.RecordBatch.from_arrays([pa.array(a, ids.type), ids.take(pa.array(begin, pa.int64())), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "far", "linked"])
+
+    return common.map_arrow(rows.repartition("tile").sortWithinPartitions("tile", "side"), run, f"a {kind}, b {kind}, far double, linked boolean")
+
+
 def long_links(lists: DataFrame, chosen: DataFrame, work: str) -> DataFrame:
     """Links (a, b) enough to join what is linked in long lists, without making their pairs. lists: value, doc_id, n, m (the list's size).
 
     A document's home is its longest list. Homes that meet in a list are compared, all members of one with all of the other, in tiles of
     some members against some: few homes stand for many lists that have mostly the same members.
+
+    Members of a home of more than one tile are first measured against one of them, its pivot, and grouped by their distance from it.
+    Members linked with the pivot need no comparison with each other, nor with those linked with a pivot that is linked with it; and as
+    distances are a metric, groups need none whose distances from the pivots differ too much, or whose pivots are too far apart. What is
+    left of a large group of near copies are the documents around its edge.
     """
     kind = dict(lists.dtypes)["doc_id"]
     homes = lists.groupBy("doc_id").agg(F.max(F.struct("m", "value")).getField("value").alias("home"))
-    sizes = homes.groupBy(F.col("home").alias("h")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    homes = common.stored(homes.join(sizes, F.col("home") == F.col("h")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")).drop("h"), f"{work}/homes")
-    met = lists.select("value", "doc_id").join(homes, "doc_id").select("value", "home", "parts").distinct()
-    other = met.select(F.col("value").alias("v"), F.col("home").alias("home_b"), F.col("parts").alias("parts_b"))
-    meet = common.stored(met.join(other, (F.col("value") == F.col("v")) & (F.col("home") <= F.col("home_b"))).select(F.col("home").alias("home_a"), F.col("parts").alias("parts_a"), "home_b", "parts_b").distinct(), f"{work}/meet")
+    sizes = common.stored(homes.groupBy(F.col("home").alias("h")).agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")), f"{work}/home-sizes")
+    homes = common.stored(homes.join(sizes, F.col("home") == F.col("h")).drop("h"), f"{work}/homes")
+    with_set = lambda rows: rows.join(chosen, F.col("a") == F.col("doc_id")).drop("doc_id")
+
+    large = homes.where(F.col("size") > TILE)
+    spread = F.xxhash64("home", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("size") / TILE))).alias("tile")
+    members = large.select(spread, F.col("doc_id").alias("a"), F.lit(1).alias("side"))
+    pivots = large.select(spread, F.col("pivot").alias("a"), F.lit(0).alias("side")).distinct()
+    near = common.stored(measured(with_set(members.union(pivots)), kind), f"{work}/from-pivots")
+    banded = homes.join(near.select(F.col("b").alias("m"), "far", "linked"), F.col("doc_id") == F.col("m"), "left")
+    band = F.when(F.col("far").isNull(), -1).otherwise(2 * F.floor(F.col("far") * BANDS) + F.col("linked").cast("int")).cast("int")
+    banded = common.stored(banded.select("doc_id", "home", band.alias("band")), f"{work}/banded")
+    groups = common.stored(banded.groupBy(F.col("home").alias("h"), F.col("band").alias("g")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), f"{work}/groups")
+    placed = banded.join(groups, (F.col("home") == F.col("h")) & (F.col("band") == F.col("g"))).drop("h", "g").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts")).cast("int"))
+    placed = common.stored(placed, f"{work}/placed")
+
+    met = lists.select("value", "doc_id").join(homes.select("doc_id", "home", "size", "pivot"), "doc_id").select("value", "home", "size", "pivot").distinct()
+    other = met.select(F.col("value").alias("v"), *(F.col(c).alias(f"{c}_b") for c in ("home", "size", "pivot")))
+    meet = met.join(other, (F.col("value") == F.col("v")) & (F.col("home") <= F.col("home_b"))).drop("value", "v").withColumnsRenamed({c: f"{c}_a" for c in ("home", "size", "pivot")}).distinct()
+    meet = common.stored(meet, f"{work}/meet")
+    both_large = meet.where((F.col("size_a") > TILE) & (F.col("size_b") > TILE) & (F.col("home_a") != F.col("home_b")))
+    ends = both_large.select(F.col("home_a").alias("tile"), F.col("pivot_b").alias("a"), F.lit(1).alias("side")).union(both_large.select(F.col("home_a").alias("tile"), F.col("pivot_a").alias("a"), F.lit(0).alias("side"))).distinct()
+    apart = common.stored(measured(with_set(ends), kind), f"{work}/pivots")
+    known = meet.join(apart, (F.col("pivot_a") == F.col("a")) & (F.col("pivot_b") == F.col("b")), "left")
     same = F.col("home_a") == F.col("home_b")
-    left = homes.join(meet, F.col("home") == F.col("home_a")).withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(0), F.col("parts_b") - 1)))
-    right = homes.join(meet, F.col("home") == F.col("home_b")).withColumn("j", F.col("part")).withColumn("i", F.explode(F.expr("sequence(0, if(home_a = home_b, j, parts_a - 1))")))
-    tile = F.xxhash64("home_a", "home_b", "i", "j").alias("tile")
-    members = left.select(tile, F.col("doc_id").alias("a"), F.lit(0).alias("side")).union(right.where("not (home_a = home_b and i >= j)").select(tile, F.col("doc_id").alias("a"), F.lit(1).alias("side")))
-    sets = members.join(chosen, F.col("a") == F.col("doc_id")).select("tile", "a", F.lit(None).cast(kind).alias("b"), "side", "shingles")
-    return dealt(sets, kind)
+    known = known.select("home_a", "home_b", F.when(same, 0.0).otherwise(F.col("far")).alias("far"), F.when(same, True).otherwise(F.coalesce("linked", F.lit(False))).alias("linked"))
+    side = lambda x: groups.select(F.col("h").alias(f"h_{x}"), F.col("g").alias(f"g_{x}"), F.col("parts").alias(f"parts_{x}"))
+    pairs = known.join(side("a"), F.col("home_a") == F.col("h_a")).join(side("b"), F.col("home_b") == F.col("h_b")).drop("h_a", "h_b")
+    near_edge = lambda x: F.floor(F.col(f"g_{x}") / 2) / BANDS - 1e-9
+    far_edge = lambda x: (F.floor(F.col(f"g_{x}") / 2) + 1) / BANDS + 1e-9
+    least = F.greatest(near_edge("b") - far_edge("a") - F.col("far"), near_edge("a") - far_edge("b") - F.col("far"), F.col("far") - far_edge("a") - far_edge("b"))
+    in_bands = (F.col("g_a") >= 0) & (F.col("g_b") >= 0) & F.col("far").isNotNull()
+    joined = (F.col("g_a") % 2 == 1) & (F.col("g_b") % 2 == 1) & F.col("linked")
+    needed = ~F.coalesce(in_bands & ((least > 1 - PERCENT / 100) | joined), F.lit(False)) & ((F.col("home_a") != F.col("home_b")) | (F.col("g_a") <= F.col("g_b")))
+    pairs = common.stored(pairs.where(needed).drop("far", "linked"), f"{work}/group-pairs")
+
+    alone = (F.col("home_a") == F.col("home_b")) & (F.col("g_a") == F.col("g_b"))
+    at = lambda x: (F.col("home") == F.col(f"home_{x}")) & (F.col("band") == F.col(f"g_{x}"))
+    left = placed.drop("parts").join(pairs, at("a")).withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence(F.when(alone, F.col("i")).otherwise(0), F.col("parts_b") - 1)))
+    right = placed.drop("parts").join(pairs, at("b")).withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(alone, F.col("j")).otherwise(F.col("parts_a") - 1))))
+    tile = F.xxhash64("home_a", "g_a", "home_b", "g_b", "i", "j").alias("tile")
+    compared = left.select(tile, F.col("doc_id").alias("a"), F.lit(0).alias("side")).union(right.where(~(alone & (F.col("i") >= F.col("j")))).select(tile, F.col("doc_id").alias("a"), F.lit(1).alias("side")))
+    sets = with_set(compared).select("tile", "a", F.lit(None).cast(kind).alias("b"), "side", "shingles")
+    return dealt(sets, kind).unionByName(near.where("linked").select("a", "b")).unionByName(apart.where("linked").select("a", "b"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: str | None = None) -> DataFrame:
