@@ -1,32 +1,34 @@
 """op1: documents as matrices of token ids, packed best fit, longest first.
 
-A window is what one task has read, up to a bound in tokens. Its pieces are placed longest first, each into the fullest sequence that
-still has room: a segment tree over amounts of room, whose nodes hold how many sequences below them are open, finds it in as many steps
-as the tree is high. A document longer than a sequence is cut without loss, into pieces of a whole sequence and a rest. No rows are
-shuffled, and pieces of different windows never share a sequence: how many sequences there are depends on how the input is split, and a
-table laid out by length or source may need up to half as many again, as where one window has pieces just longer than half a sequence
-and the other one pieces just shorter.
+Documents are dealt by a hash of identifier and text into windows of WINDOW_CHARS characters on average, as many as the table's size asks
+for, so that a window is a fair sample of the table and the number of sequences does not depend on how the input is split or sorted. A window's pieces
+are placed longest first, each into the fullest sequence that still has room: a segment tree over amounts of room, whose nodes hold how
+many sequences below them are open, finds it in as many steps as the tree is high. A document longer than a sequence is cut without loss,
+into pieces of a whole sequence and a rest. Pieces of different windows never share a sequence; what that costs is measured in the README.
 
 A row is a sequence: its ids as a row of a matrix (little-endian, unsigned, of 2 bytes where the vocabulary fits and else 4; filled up
 with the pad id), the cumulative lengths of its segments from 0, position ids that begin at 0 again in each segment (2 or 4 bytes alike),
 and which document and piece each segment is. Sequences of a partition are numbered on from its number times 2**32.
 
-A null or empty text is a segment of the end id alone. Equal texts are packed like any others; an empty table gives no rows. Other
-columns are left out, whatever their names.
+A null or empty text is a segment of the end id alone. Equal texts and repeated rows are packed like any others, very long texts are cut
+as above; an empty table gives no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stitchwork.llm import bpe, common, packing, words
 
-WINDOW_TOKENS = 8_000_000
+#: Characters of a window, about, and the most tokens of which one is made if a very long text falls into it.
+WINDOW_CHARS, WINDOW_TOKENS = 32_000_000, 32_000_000
 PAD_ID = 0
 SCHEMA = "sequence_id long, n_tokens int, doc_ids array<{kind}>, pieces array<int>, cu_seqlens array<int>, ids binary, position_ids binary"
 
@@ -78,7 +80,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def matrices(docs: DataFrame, path: str = bpe.VOCABULARY, capacity: int = packing.CAPACITY, window_tokens: int = WINDOW_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matrices(docs: DataFrame, path: str = bpe.VOCABULARY, capacity: int = packing.CAPACITY, window_chars: int = WINDOW_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
     schema = SCHEMA.format(kind=kind)
 
@@ -124,13 +126,16 @@ def matrices(docs: DataFrame, path: str = bpe.VOCABULARY, capacity: int = packin
                 ids, row, piece, _, length = packing.token_pieces(common.texts(rows.column("text")), path, capacity)
                 held.append((ids.astype(dtype), rows.column("doc_id").take(pa.array(row)), piece, length))
                 tokens += len(ids)
-                if tokens >= window_tokens:
+                if tokens >= WINDOW_TOKENS:
                     yield from packed()
                     held, tokens = [], 0
         if held:
             yield from packed()
 
-    return common.map_arrow(common.renamed(docs, {"doc_id": id_col, "text": text_col}), run, schema)
+    named = common.renamed(docs, {"doc_id": id_col, "text": text_col})
+    chars = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    dealt = named.repartition(max(1, math.ceil(chars / window_chars)), F.xxhash64("doc_id", "text"))
+    return common.map_arrow(dealt, run, schema)
 
 
 def _runs(order: np.ndarray, sequence: np.ndarray, most: int = 256) -> Iterator[np.ndarray]:

@@ -136,7 +136,7 @@ def test_packed_pieces(hard, nothing, documents, word_library, capacity):
 
 
 def test_matrices_round_trip(hard, nothing, documents, word_library):
-    rows = token_output.matrices(hard, window_tokens=40_000).collect()
+    rows = token_output.matrices(hard, window_chars=150_000).collect()
     back = token_output.unpacked(rows)
     for i, t in documents:
         assert back[i].tolist() == [*word_library.encode(t or "", add_special_tokens=False).ids, 0]
@@ -148,3 +148,11 @@ def test_matrices_round_trip(hard, nothing, documents, word_library):
             assert positions[begin:end].tolist() == list(range(end - begin))
         assert not positions[r.n_tokens :].any()
     assert token_output.matrices(nothing).collect() == []
+
+
+def test_number_of_sequences_does_not_depend_on_the_split(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    counts = {token_output.matrices(docs.repartition(n), window_chars=500_000).count() for n in (1, 7, 64)}
+    assert len(counts) == 1
+    whole = token_output.matrices(docs).count()
+    assert whole == len({r.sequence_id for r in packing.pack(docs).select("sequence_id").distinct().collect()})
