@@ -40,11 +40,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def entries_in(spark: SparkSession, path: str) -> int:
-    """How many files and folders lie in a folder; 0 if it isn't there."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it isn't there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return len(system.listStatus(p)) if system.exists(p) else 0
+    return [f.getPath().getName() for f in system.listStatus(p)] if system.exists(p) else []
 
 
 def remove(spark: SparkSession, path: str) -> None:

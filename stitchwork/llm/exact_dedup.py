@@ -44,7 +44,7 @@ class DedupState:
 
     def __init__(self, spark: SparkSession, folder: str, goes_on: bool = True):
         self.spark, self.folder, self.goes_on = spark, folder, goes_on
-        self.batches = common.entries_in(spark, f"{folder}/keys")
+        self.batches = len(common.names_in(spark, f"{folder}/keys"))
 
     def add(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The batch's digest and doc_id, as stored, and digest, n, doc_id (that stays), first (locator), over all batches so far, of each
@@ -66,7 +66,7 @@ class DedupState:
         finally:
             for k, v in old.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-        if not common.entries_in(self.spark, out):  # a stream without any file makes no batch
+        if not common.names_in(self.spark, out):  # a stream without any file makes no batch
             return keys, keys.select("digest", F.lit(0).cast("long").alias("n"), "doc_id", F.col("locator").alias("first")).limit(0)
         return keys, self.spark.read.parquet(out)
 

@@ -1,21 +1,24 @@
 """op10: removal of long repeated byte strings by a logarithmic family of sparse suffix arrays.
 
 Every window of 200 bytes samples one of its grams of 64 bytes, the one of least hash: equal windows sample at the same place, so that
-the suffixes that begin at sampled grams, some 17 in 1000, are all that must be indexed. An entry has the hash of its gram (the key) and
-of its context (all bytes of the windows that sample it, in this document). A suffix array is a sorted run of distinct (key, context),
-with the number of entries and where one of them is; order is by hash, which is as good as by bytes to find equal ones.
+the suffixes that begin at sampled grams, some 17 in 1000, are all that must be indexed. An entry has the suffix's first 8 bytes (lead),
+the hash of its gram (key) and of its context (all bytes of the windows that sample it, in this document). A suffix array is a sorted run
+of distinct (lead, key, context), with the number of entries and where one of them is. It is in the order of the suffixes to the depth of
+8 bytes; suffixes alike so far are in the order of their grams' hashes, so that equal grams are neighbours, which is all that matching asks.
 
-Documents come in batches. A batch gets its own suffix array and is merge-scanned against each existing level: a key that occurs there
-too, or twice in the batch, is a long match to be looked into. Then the array enters the family at level 0, and as long as two arrays
-stand on one level, they merge into one on the next.
+Documents come in batches. A batch gets its own suffix array and is merge-scanned against each existing level, in suffix order: a gram
+that occurs there too, or twice in the batch, is a long match to be looked into. Then the array enters the family at level 0, and as long
+as two arrays stand on one level, they merge into one on the next. A family is its folder: another session goes on where one stopped.
 
-Of the matches, a context with two entries or more repeats as a whole. Contexts of one entry whose key has other contexts are compared
-byte by byte: how far two agree to the left and right of the gram tells which windows they share. Keys of at most GROUP contexts are
-worked out together; of those with more, every single window's hash is counted, so that no key's contexts need ever be in one place.
+Of the matches, a context with two entries or more repeats as a whole, which its two hashes tell (128 bits). Contexts of one entry whose
+key has other contexts are compared byte by byte: how far two agree to the left and right of the gram tells which windows they share. Keys
+of at most GROUP contexts are worked out together; of those with more, every single window's hash is counted, so that no key's contexts
+need ever be in one place.
 
 A null text counts as empty. Offsets are bytes of the document's UTF-8; matches never cross documents, but count inside one. Equal texts
-of 200 bytes or more are removed wholly, all of them; shorter ones stay. doc_id identifies a row and isn't null (rows without one are
-returned as they are, but others are compared with them). An empty table gives no rows. Other columns are left out, whatever their names.
+of 200 bytes or more are removed wholly, all of them; shorter ones stay. Very long texts are worked on in blocks, whole. doc_id identifies
+a row and isn't null (rows without one are returned as they are, but others are compared with them). An empty table gives no rows. Other
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 
 from stitchwork.llm import common, windows
 
-BATCHES = 2
+#: Order of a suffix array.
+ORDER = ("lead", "key", "context")
+#: Bytes of a table, about, that make one batch.
+BATCH_BYTES = 1 << 38
 GROUP = 64
 WINDOW, GRAM, GRAMS = windows.WINDOW, windows.GRAM, windows.GRAMS
 
@@ -44,7 +50,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """key, context, doc_id, at (of the gram), low, high (first and last start of its windows) of each sampled suffix of doc_id, text."""
+    """lead, key, context, doc_id, at (of the gram), low, high (first and last start of its windows) of each sampled suffix of doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,55 +58,62 @@ def entries(docs: DataFrame) -> DataFrame:
                 data, bounds = text_bytes(part.column("text"))
                 found = windows.suffixes(data, bounds[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["key"].view(np.int64)), pa.array(found["context"].view(np.int64)), part.column("doc_id").take(pa.array(found["row"].astype(np.int64))), *(pa.array(found[k], pa.int32()) for k in ("at", "low", "high"))],
-                    ["key", "context", "doc_id", "at", "low", "high"],
+                    [pa.array(found["lead"]), pa.array(found["key"].view(np.int64)), pa.array(found["context"].view(np.int64)), part.column("doc_id").take(pa.array(found["row"].astype(np.int64))), *(pa.array(found[k], pa.int32()) for k in ("at", "low", "high"))],
+                    ["lead", "key", "context", "doc_id", "at", "low", "high"],
                 )
 
-    return common.map_arrow(docs, run, f"key long, context long, doc_id {dict(docs.dtypes)['doc_id']}, at int, low int, high int")
+    return common.map_arrow(docs, run, f"lead long, key long, context long, doc_id {dict(docs.dtypes)['doc_id']}, at int, low int, high int")
 
 
 class Family:
-    """Suffix arrays by level, in a folder that driver and executors share."""
+    """Suffix arrays by level, in a folder that driver and executors share. An array is called array-<number>-<first>-<level>: it has all
+    that the arrays from the first number to its own had, so that what a merge left behind that was broken off is known as such."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.made = spark, folder, 0
+        self.spark, self.folder = spark, folder
         self.levels: dict[int, str] = {}
-
-    def write(self, rows: DataFrame) -> str:
+        found = sorted((tuple(map(int, n.split("-")[1:])) for n in common.names_in(spark, folder) if n.startswith("array-")), reverse=True)
+        self.made, until = max((n for n, _, _ in found), default=0), None
+        for number, first, level in found:
+            path = f"{folder}/array-{number}-{first}-{level}"
+            if (until is None or number < until) and "_SUCCESS" in common.names_in(spark, path):
+                self.levels[level], until = path, first
+
+    def write(self, rows: DataFrame, level: int, first: int | None = None) -> str:
         self.made += 1
-        path = f"{self.folder}/array-{self.made}"
-        rows.sortWithinPartitions("key", "context").write.parquet(path)
+        path = f"{self.folder}/array-{self.made}-{first or self.made}-{level}"
+        rows.sortWithinPartitions(*ORDER).write.parquet(path)
         return path
 
     def read(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """The keys of the batch's matches with itself and with all batches before; the batch is in the family afterwards."""
+        """lead, key of the batch's matches with itself and with all batches before; the batch is in the family afterwards."""
         place = F.struct("doc_id", "at", "low", "high")
-        path = self.write(batch.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(place).alias("place")))
+        path, level = self.write(batch.groupBy(*ORDER).agg(F.count("*").alias("n"), F.min(place).alias("place")), 0), 0
         own = self.read(path)
-        matches = own.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+        matches = own.groupBy("lead", "key").agg(F.sum("n").alias("n")).where("n > 1").select("lead", "key")
         for old in self.levels.values():
-            matches = matches.union(own.select("key").join(self.read(old).select("key"), "key", "left_semi"))
+            matches = matches.union(own.select("lead", "key").join(self.read(old).select("lead", "key"), ["lead", "key"], "left_semi"))
         found = common.stored(matches.distinct(), f"{self.folder}/matches-{self.made}")
-        level = 0
         while level in self.levels:
             old = self.levels.pop(level)
-            both = self.read(old).unionByName(self.read(path))
-            merged = self.write(both.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min("place").alias("place")))
+            both, level = self.read(old).unionByName(self.read(path)), level + 1
+            first = int(old.rpartition("/")[2].split("-")[2])
+            merged = self.write(both.groupBy(*ORDER).agg(F.sum("n").alias("n"), F.min("place").alias("place")), level, first)
             common.remove(self.spark, old)
             common.remove(self.spark, path)
-            path, level = merged, level + 1
+            path = merged
         self.levels[level] = path
         return found
 
-    def contexts(self, keys: DataFrame) -> DataFrame:
-        """key, context, n, place of all entries with these keys."""
-        keys = keys.select(F.col("key").alias("k")).distinct()
+    def contexts(self, matches: DataFrame) -> DataFrame:
+        """key, context, n, place of all entries with these leads and keys."""
+        wanted = matches.select("lead", "key").distinct()
         rows = None
         for path in self.levels.values():
-            here = self.read(path).join(keys, F.col("key") == F.col("k"), "left_semi")
+            here = self.read(path).join(wanted, ["lead", "key"], "left_semi").drop("lead")
             rows = here if rows is None else rows.unionByName(here)
         return rows if len(self.levels) == 1 else rows.groupBy("key", "context").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
 
@@ -190,8 +203,15 @@ def edge_spans(docs: DataFrame, edges: DataFrame, work: str) -> DataFrame:
     return few.unionByName(many)
 
 
-def repeated_spans(docs: DataFrame, work: str, batches: int = BATCHES) -> DataFrame:
+def batches_for(docs: DataFrame) -> int:
+    """How many batches a table is added in: by its size, two at least."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(2, -(-size // BATCH_BYTES))
+
+
+def repeated_spans(docs: DataFrame, work: str, batches: int | None = None) -> DataFrame:
     """doc_id, begin, end of repeated bytes; spans of a document may overlap. docs: doc_id, text."""
+    batches = batches or batches_for(docs)
     family, matches = Family(docs.sparkSession, f"{work}/family"), None
     for b in range(batches):
         found = family.add(entries(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)))
@@ -205,7 +225,7 @@ def repeated_spans(docs: DataFrame, work: str, batches: int = BATCHES) -> DataFr
     return full.unionByName(edge_spans(docs, edges, work))
 
 
-def without_repeats(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (begin, end, apart and in order), kept (the remaining bytes) for each row."""
     spark = docs.sparkSession
     work = common.work_dir(spark)

@@ -56,11 +56,11 @@ def blocks(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def suffixes(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """The sampled suffixes of documents that begin at starts, one after another in data.
 
-    For each: document (row), key, context (hash of all bytes of the windows that sample it), place, and the first and last of these
+    For each: document (row), its first eight bytes (lead), key, context (hash of all bytes of the windows that sample it), place, and the first and last of these
     windows' starts, all in the document.
     """
     ends = np.append(starts[1:], len(data))
-    out = {k: [] for k in ("row", "key", "context", "at", "low", "high")}
+    out = {k: [] for k in ("row", "lead", "key", "context", "at", "low", "high")}
     for begin, piece in blocks(data):
         grams, whole = hashes(piece)
         at = sampled(grams)
@@ -78,6 +78,11 @@ def suffixes(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         high = np.flatnonzero(tail)
         context = joined(joined(whole[low], whole[high]), (high - low).astype(np.uint64))
         first = starts[row[low]] - begin
-        for k, v in (("row", row[low]), ("key", grams[at[low]]), ("context", context), ("at", at[low] - first), ("low", low - first), ("high", high - first)):
+        # the first eight bytes as a signed number of the same order
+        lead = np.zeros(len(low), np.uint64)
+        for i in range(8):
+            lead = lead << np.uint64(8) | piece[at[low] + i].astype(np.uint64)
+        lead = (lead ^ np.uint64(1 << 63)).view(np.int64)
+        for k, v in (("row", row[low]), ("lead", lead), ("key", grams[at[low]]), ("context", context), ("at", at[low] - first), ("low", low - first), ("high", high - first)):
             out[k].append(v)
     return {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()}

@@ -65,13 +65,43 @@ def test_windows_across_blocks(monkeypatch):
 
 
 def test_equal_sized_levels_merge(spark):
-    family = substrings.Family(spark, common.work_dir(spark))
-    batch = lambda *keys: spark.createDataFrame([(k, k, 1, 0, 0, 0) for k in keys], "key long, context long, doc_id long, at int, low int, high int")
+    folder = common.work_dir(spark)
+    family = substrings.Family(spark, folder)
+    batch = lambda *keys: spark.createDataFrame([(-k, k, k, 1, 0, 0, 0) for k in keys], "lead long, key long, context long, doc_id long, at int, low int, high int")
     assert family.add(batch(1, 2)).collect() == []
     assert [r.key for r in family.add(batch(2, 3)).collect()] == [2] and list(family.levels) == [1]
     assert sorted(r.key for r in family.add(batch(1, 5, 5)).collect()) == [1, 5] and sorted(family.levels) == [0, 1]
+    family = substrings.Family(spark, folder)  # another session
+    assert sorted(family.levels) == [0, 1] and family.made == 4
     assert family.add(batch(9)).collect() == [] and list(family.levels) == [2]
-    assert {r.key: r.n for r in family.contexts(spark.createDataFrame([(2,), (5,)], "key long")).collect()} == {2: 2, 5: 2}
+    wanted = spark.createDataFrame([(-2, 2), (-5, 5)], "lead long, key long")
+    assert {r.key: r.n for r in family.contexts(wanted).collect()} == {2: 2, 5: 2}
+    # a merge that was broken off: its sources are still there, and what it began has no end
+    family.write(family.read(family.levels[2]), 0, first=None)
+    family.read(family.levels[2]).write.parquet(f"{folder}/array-3-1-1")
+    family.read(family.levels[2]).write.parquet(f"{folder}/array-9-1-3")
+    common.remove(spark, f"{folder}/array-9-1-3/_SUCCESS")
+    again = substrings.Family(spark, folder)
+    assert again.levels == {0: f"{folder}/array-{family.made}-{family.made}-0", 2: family.levels[2]}
+
+
+def test_arrays_are_in_suffix_order(spark):
+    """Leads order as the bytes do, and an array's files are sorted runs."""
+    data = np.frombuffer(random.Random(2).randbytes(4000), np.uint8)
+    found = windows.suffixes(data, np.array([0]))
+    suffixes = [data[a : a + 8].tobytes() for a in found["at"].tolist()]
+    assert np.argsort(found["lead"], kind="stable").tolist() == sorted(range(len(suffixes)), key=lambda i: suffixes[i])
+    docs = spark.createDataFrame(fixture(), "doc_id long, text string").repartition(3)
+    family = substrings.Family(spark, common.work_dir(spark))
+    family.add(substrings.entries(docs))
+    parts = family.read(family.levels[0]).rdd.glom().collect()
+    assert all([tuple(r[:3]) for r in p] == sorted(tuple(r[:3]) for r in p) for p in parts) and sum(map(len, parts))
+
+
+def test_size_tells_batches(spark, hard, monkeypatch):
+    assert substrings.batches_for(hard) == 2
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 20_000)
+    assert substrings.batches_for(hard) > 2
 
 
 def test_components_of_chains_and_stars(spark):
