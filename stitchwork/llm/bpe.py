@@ -4,7 +4,8 @@ Batched numpy merge rounds: the symbols of all distinct words of a batch lie in
 search over sorted pair keys; in each round every word merges its pair of lowest rank wherever it stands, left to right, until no
 word has a pair with a rank. Words seen before come from a cache of bounded size.
 
-Null texts count as empty: no ids, an empty decoded text. White space only: the same. Strings of special tokens inside a text become
+Null texts count as empty: no ids, an empty decoded text. White space only: the same. Very long texts are coded whole, an empty table
+gives no rows. Strings of special tokens inside a text become
 that token's id, as is the library's default. Rows with equal ids or texts are all returned. Other columns are left out.
 """
 

@@ -11,7 +11,8 @@ such a token could begin. The token that ends a prefix is the one suffix of it t
 merge across the two. States are compiled when a text first needs them. Each word starts anew, so that its map is a constant, and the
 counts compose by prefix sums over the words.
 
-Null texts count as empty, with 0 bytes and 0 tokens. Strings of special tokens inside a text are one token each, as is the library's
+The counting machine has more states than a map from all of them could hold, so that a single very long word is run through from its
+beginning; only the splitter's chunks are composed. Null texts count as empty, with 0 bytes and 0 tokens, an empty table gives no rows. Strings of special tokens inside a text are one token each, as is the library's
 default. Equal texts each have their row. Other columns are left out.
 """
 
@@ -36,6 +37,8 @@ CHUNK = 256
 MEET = 8
 #: Words kept with their counts, and transitions kept, from one batch to the next.
 CACHED_WORDS, CACHED_EDGES = 500_000, 500_000
+#: Bytes of a word after which the bound on transitions is looked at again.
+STRETCH = 4096
 
 # kinds of characters
 STMD, R, E, V, L, LETTER, NUMBER, BLANK, WHITE, QUOTE, OTHER, END = range(12)
@@ -147,6 +150,9 @@ class CountingBpe:
 
     def forget(self) -> None:
         self.counts: dict[bytes, int] = {}
+        self.forget_states()
+
+    def forget_states(self) -> None:
         self.stands: dict[tuple[bytes, bytes], bool] = {}
         #: state: its suffix, and for each place in it where a token may begin, from the end back, the last token that ends there (none
         #: where the word begins) and the count of tokens up to there
@@ -219,11 +225,19 @@ class CountingBpe:
         return found
 
     def count(self, word: bytes) -> int:
-        edges, state, total = self.edges, 0, 0
-        for byte in word:
-            step = edges.get(state << 8 | byte) or self.edge(state, byte)
-            state = step[0]
-            total += step[1]
+        """The tokens of a word. However long it is, states and transitions stay bounded: beyond the bound the machine goes on with the
+        state that it is in as its only one."""
+        state, total = 0, 0
+        for begin in range(0, len(word), STRETCH):
+            if len(self.edges) > CACHED_EDGES:
+                now = self.states[state]
+                self.forget_states()
+                state = self.number(now)
+            edges = self.edges
+            for byte in word[begin : begin + STRETCH]:
+                step = edges.get(state << 8 | byte) or self.edge(state, byte)
+                state = step[0]
+                total += step[1]
         return total
 
     def count_words(self, found: list[bytes]) -> np.ndarray:

@@ -156,3 +156,12 @@ def test_number_of_sequences_does_not_depend_on_the_split(spark, small):
     assert len(counts) == 1
     whole = token_output.matrices(docs).count()
     assert whole == len({r.sequence_id for r in packing.pack(docs).select("sequence_id").distinct().collect()})
+
+
+def test_states_stay_bounded_in_a_long_word(byte_library, monkeypatch):
+    r = random.Random(5)
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(60_000))
+    monkeypatch.setattr(transducer, "CACHED_EDGES", 5000)
+    machine = transducer.CountingBpe(transducer.VOCABULARY)
+    assert machine.count_texts([word, "a b", word[:777]]).tolist() == [len(e.ids) for e in byte_library.encode_batch([word, "a b", word[:777]], add_special_tokens=False)]
+    assert len(machine.edges) <= 5000 + transducer.STRETCH
