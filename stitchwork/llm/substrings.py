@@ -37,7 +37,8 @@ from stitchwork.llm import common, windows
 ORDER = ("lead", "key", "context")
 #: Bytes of a table, about, that make one batch.
 BATCH_BYTES = 1 << 38
-GROUP = 64
+#: Contexts of a key that are compared with each other; repeated windows of a key that go to its contexts as one array.
+GROUP, REPEATED = 64, 4096
 WINDOW, GRAM, GRAMS = windows.WINDOW, windows.GRAM, windows.GRAMS
 
 
@@ -164,17 +165,17 @@ def edge_spans(docs: DataFrame, edges: DataFrame, work: str) -> DataFrame:
                 hashes = None
                 for key, single, small, at, low, high in (e.values() for e in wanted):
                     if small:
-                        out.append((True, key, doc, single, at, low, data[low : high + WINDOW]))
+                        out.append((True, key, doc, single, at, low, data[low : high + WINDOW], None))
                         continue
                     if hashes is None:
                         array = np.frombuffer(data, np.uint8)
                         hashes = np.concatenate([windows.hashes(piece)[1] for _, piece in windows.blocks(array)]).view(np.int64)
-                    out += [(False, h, doc, single, at, low + i, None) for i, h in enumerate(hashes[low : high + 1].tolist())]
+                    out.append((False, key, doc, single, at, low, None, hashes[low : high + 1].tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(CUT.names, row, strict=True)) for row in out], CUT)
 
     cut_type = pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    CUT = pa.schema([("small", pa.bool_()), ("key", pa.int64()), ("doc_id", cut_type), ("single", pa.bool_()), ("at", pa.int32()), ("low", pa.int32()), ("bytes", pa.binary())])  # noqa: N806
-    pieces = common.stored(common.map_arrow(asked, cut, f"small boolean, key long, doc_id {kind}, single boolean, at int, low int, bytes binary"), f"{work}/pieces")
+    CUT = pa.schema([("small", pa.bool_()), ("key", pa.int64()), ("doc_id", cut_type), ("single", pa.bool_()), ("at", pa.int32()), ("low", pa.int32()), ("bytes", pa.binary()), ("windows", pa.list_(pa.int64()))])  # noqa: N806
+    pieces = common.stored(common.map_arrow(asked, cut, f"small boolean, key long, doc_id {kind}, single boolean, at int, low int, bytes binary, windows array<long>"), f"{work}/pieces")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(group: list[dict]) -> list[tuple]:
@@ -197,10 +198,29 @@ def edge_spans(docs: DataFrame, edges: DataFrame, work: str) -> DataFrame:
 
     small = pieces.where("small").select("key", "doc_id", "single", "at", "low", "bytes")
     few = common.map_arrow(small.repartition("key").sortWithinPartitions("key"), compare, f"doc_id {kind}, begin long, end long")
-    single = pieces.where("not small").select("key", "doc_id", "single", F.col("low").cast("long").alias("begin"))
-    twice = single.groupBy(F.col("key").alias("k")).count().where("count > 1").select("k")
-    many = single.where("single").join(twice, F.col("key") == F.col("k"), "left_semi").select("doc_id", "begin", (F.col("begin") + WINDOW).alias("end"))
-    return few.unionByName(many)
+    return few.unionByName(often_met(pieces.where("not small").drop("small", "bytes"), work))
+
+
+def often_met(contexts: DataFrame, work: str) -> DataFrame:
+    """doc_id, begin, end of what single contexts of keys with many contexts share: windows whose hash occurs twice under their key.
+    contexts: key, doc_id, single, at, low, windows (their hashes, from low on).
+
+    A context's windows begin less than a window's length apart, so that the first and the last that it shares cover all others. Where a
+    key has at most REPEATED such hashes, they go to its contexts as one array; where it has more, each window looks for its own."""
+    twice = contexts.select("key", F.explode("windows").alias("h")).groupBy("key", "h").count().where("count > 1").select(F.col("key").alias("k"), "h")
+    twice = common.stored(twice, f"{work}/twice")
+    sizes = twice.groupBy(F.col("k").alias("many")).count()
+    short = twice.join(sizes.where(F.col("count") <= REPEATED), F.col("k") == F.col("many"), "left_semi").groupBy("k").agg(F.collect_list("h").alias("hs"))
+    single = contexts.where("single")
+    met = single.join(short, F.col("key") == F.col("k")).select("doc_id", "low", "windows", F.reverse("windows").alias("back"), F.array_intersect("windows", "hs").alias("first"), F.array_intersect(F.reverse("windows"), F.col("hs")).alias("last")).where(F.size("first") > 0)
+    begin = F.col("low") + F.array_position("windows", F.col("first")[0]) - 1
+    end = F.col("low") + F.size("windows") - F.array_position("back", F.col("last")[0]) + WINDOW
+    arrays = met.select("doc_id", begin.cast("long").alias("begin"), end.cast("long").alias("end"))
+    long = twice.join(sizes.where(F.col("count") > REPEATED), F.col("k") == F.col("many"), "left_semi")
+    each = single.select("key", "doc_id", "at", "low", F.posexplode("windows").alias("i", "w")).join(long, (F.col("key") == F.col("k")) & (F.col("w") == F.col("h")), "left_semi")
+    place = F.col("low") + F.col("i")
+    rows = each.groupBy("doc_id", "at", "low").agg(F.min(place).cast("long").alias("begin"), (F.max(place) + WINDOW).cast("long").alias("end")).select("doc_id", "begin", "end")
+    return arrays.unionByName(rows)
 
 
 def batches_for(docs: DataFrame) -> int:

@@ -36,9 +36,10 @@ def fixture():
     return [(5000 + i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("batches, group", [(1, 64), (2, 2), (5, 64)])
-def test_removed_bytes_are_brute_force(spark, hard, nothing, documents, monkeypatch, batches, group):
+@pytest.mark.parametrize("batches, group, repeated", [(1, 64, 4096), (2, 2, 4096), (3, 2, 20)])
+def test_removed_bytes_are_brute_force(spark, hard, nothing, documents, monkeypatch, batches, group, repeated):
     monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "REPEATED", repeated)
     more = fixture()
     docs = hard.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     rows = substrings.without_repeats(docs, batches).collect()
