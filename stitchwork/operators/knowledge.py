@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stitchwork.functions import text
-from stitchwork.operators import matching, ranking, vectors
+from stitchwork.operators import graph, matching, ranking, vectors
 
 
 def schema_matches(web: DataFrame, kb: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -77,6 +77,40 @@ def consistent(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return chosen.join(best, ["table", "class"], "left_semi")
 
 
+def matched_to_classes(web: DataFrame, kb: DataFrame, clusters: DataFrame, keys: DataFrame, inclusions: DataFrame | None = None, label: str = "label", context: DataFrame | None = None, threshold: float = 0.1, link: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(table, class, l, r, score) of columns and properties, one class for each table, and (table, class, l, r, score) of the linked
+    rows and entities. Properties by typed tokens (I22), labels not on context columns (C13), only where the label is mapped (I23); one to
+    one within table and class (F06); rows to entities by the label (I24); properties again by the values of linked ones (I25); a key of
+    the class mapped whole (I23), no key that another class of the table contains (I27); columns of a cluster alike, best class (I26).
+
+    web: table, id, column, type, v; kb: class, id, property, type, v; clusters: col_id, cluster; keys: class, cols; inclusions: class1,
+    attrs1, class2, attrs2; context: col_id, is_context."""
+    by_class = graph._cut(schema_matches(web.select(F.col("column").alias("owner"), "type", "v"), kb.select(F.concat_ws("\x1f", "class", "property").alias("owner"), "type", "v"), threshold))
+    table_of = web.select(F.col("column").alias("l"), "table").distinct()
+    named = by_class.withColumn("class", F.split("r", "\x1f")[0]).withColumn("r", F.split("r", "\x1f")[1]).join(table_of, "l").select("table", "class", "l", "r", "score")
+    if context is not None:
+        named = without_context_labels(named, context, label)
+    fine = graph._cut(ranking.maximum_matching(label_mapped(named, label), ["table", "class"]))
+
+    labels = fine.where(F.col("r") == label).select("table", "class", F.col("l").alias("column"))
+    rows = web.join(labels, ["table", "column"]).select(F.concat_ws("\x1f", "table", "id").alias("id"), F.concat_ws("\x1f", "table", "class").alias("class"), F.col("v").alias("label"))
+    scope = labels.select("table", "class").distinct()
+    entities = kb.where(F.col("property") == label).join(scope, "class").select("id", F.concat_ws("\x1f", "table", "class").alias("class"), F.col("v").alias("label"))
+    linked = matching.linked_entities(rows, entities, link)
+    part = lambda c, i: F.split(c, "\x1f")[i]
+    links = graph._cut(linked.select(part("class", 0).alias("table"), part("class", 1).alias("class"), part("l", 1).alias("l"), "r", "score"))
+
+    w = web.select(F.col("table").cast("string").alias("table"), F.col("id").cast("string").alias("l"), "column", F.col("v").alias("x"), "type")
+    k = kb.select("class", F.col("id").alias("r"), "property", F.col("v").alias("y"), F.col("type").alias("t"))
+    met = links.select("table", "class", "l", "r").join(w, ["table", "l"]).join(k, ["class", "r"]).where(F.col("type") == F.col("t"))
+    vote = F.when(F.col("type") == "numeric", matching.typed_vote(F.col("x"), F.col("y"), "numeric")).when(F.col("type") == "date", matching.typed_vote(F.col("x"), F.col("y"), "date")).otherwise(matching.typed_vote(F.col("x"), F.col("y"), "string"))
+    again = met.groupBy("table", "class", "column", "property").agg(F.round(F.avg(F.coalesce(vote, F.lit(0.0))), 6).alias("score")).where(F.col("score") >= threshold)
+    again = graph._cut(again.select("table", "class", F.col("column").alias("l"), F.col("property").alias("r"), "score"))
+    excluded = excluded_keys(inclusions, again.select("table", "class").distinct()) if inclusions is not None else None
+    best = graph._cut(consistent(graph._cut(keys_mapped(label_mapped(again, label), keys, excluded)), clusters))
+    return best, links.join(best.select("table", "class").distinct(), ["table", "class"], "left_semi")
+
+
 def class_extract(kb: DataFrame, kind: str, key: str) -> DataFrame:
     """Entities of a class with a key value, brackets removed, one for each value (that of the smallest id)."""
     rows = kb.where((F.col("class") == kind) & (F.col("property") == key)).select("id", text.without_brackets(F.col("value")).alias("v")).where("v is not null")

@@ -141,3 +141,47 @@ def test_arriving_tables(spark, tmp_path):
     cells = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(str(r.v) for r in cells.collect()) == ["None", "x", "y"]
     assert {(r.n, r.filled) for r in arrivals.running_density(cells).collect()} == {(2, 1), (1, 1)}
+
+
+def test_columns_that_look_alike_keep_their_names():
+    assert synthesis.safe_names(["a b", "a_b", "a-b", "c"]) == {"a b": "a_b", "a_b": "a_b_2", "a-b": "a_b_3", "c": "c"}
+
+
+@pytest.mark.parametrize("matcher", ["label", "value"])
+def test_whole_workflow(spark, matcher):
+    """Two layouts of one kind of table, on pages by year, become entities and relations with foreign keys."""
+    states = [f"state {i}" for i in range(6)]
+    jobs = [f"job {i}" for i in range(4)]
+    tables = []
+    for y in (2001, 2002):
+        rows = [(s, j, f"cap of {s}", f"{y}{i}{k}") for i, s in enumerate(states) for k, j in enumerate(jobs)]
+        tables.append(synthesis.WebTable(f"http://s/first/{y}", spark.createDataFrame(rows, "state string, profession string, capital string, employment string"), "T"))
+        names = "state string, profession string, capital string, employment string" if matcher == "label" else "area string, profession string, town string, workers string"
+        other = spark.createDataFrame(rows[4:], names)
+        tables.append(synthesis.WebTable(f"http://s/second/{y}", other.select(*reversed(other.columns)), "T"))
+    config = synthesis.Config(matcher=matcher, filter="both", entities={"State": ["state"]}, max_size=3)
+    site = synthesis.normalise_web_tables(tables, config)
+    assert len(site.tables) == 2 and len(site.stitched) == 1
+    df = next(iter(site.stitched.values()))
+    assert {"state", "profession", "capital", "employment"} <= set(df.columns) and df.select("state", "profession", "employment").distinct().count() == 48
+    assert site.entities["State"].count() == 6
+    relations = next(iter(site.relations.values()))
+    assert all("FK" in r.columns for r in relations.values())
+    assert relations["FK"].select("FK", "capital").distinct().count() == 6
+    assert any({"FK", "profession", "employment"} <= set(r.columns) and r.count() == 48 for r in relations.values())
+    assert [name for depth, name, _ in site.timings.lines if depth == 0] == ["matching", "stitching", "normalisation"]
+
+
+def test_tables_are_matched_to_classes(spark):
+    cities = [(f"c{i}", f"city {w} {i}", f"{1000 * i + 17}") for i, w in enumerate("alpha beta gamma delta epsilon zeta".split())]
+    people = [(f"p{i}", f"person {w}", f"{20 + i}") for i, w in enumerate("alpha beta gamma delta".split())]
+    kb_rows = [("City", i, p, t, v) for i, n, x in cities for p, t, v in (("label", "string", n), ("population", "numeric", x))]
+    kb_rows += [("Person", i, p, t, v) for i, n, x in people for p, t, v in (("label", "string", n), ("age", "numeric", x))]
+    kb = spark.createDataFrame(kb_rows, "class string, id string, property string, type string, v string")
+    web_rows = [("1", f"r{k}", c, t, v) for k, (_, n, x) in enumerate(cities[:5]) for c, t, v in (("1a", "string", n), ("1b", "numeric", x))]
+    web = spark.createDataFrame(web_rows, "table string, id string, column string, type string, v string")
+    clusters = spark.createDataFrame([("1a", 0), ("1b", 1)], "col_id string, cluster int")
+    keys = spark.createDataFrame([("City", ["label"]), ("Person", ["label", "age"])], "class string, cols array<string>")
+    columns, links = knowledge.matched_to_classes(web, kb, clusters, keys)
+    assert {(r["table"], r["class"], r["l"], r["r"]) for r in columns.collect()} == {("1", "City", "1a", "label"), ("1", "City", "1b", "population")}
+    assert {(r["l"], r["r"]) for r in links.collect()} == {(f"r{k}", f"c{k}") for k in range(5)}
