@@ -26,6 +26,11 @@ def dense_edges(edges: DataFrame, profile: DataFrame, least: float = 1.0) -> Dat
     return edges.join(profile.where(F.col("density") >= least).select(F.col("column").alias("l")), "l", "left_semi")
 
 
+def above(edges: DataFrame, least: float, strict: bool = False) -> DataFrame:
+    """Edges whose score reaches the threshold, or exceeds it if strict."""
+    return edges.where(F.col("score") > least if strict else F.col("score") >= least)
+
+
 def reference_scores(references: DataFrame, matches: DataFrame, scores: DataFrame) -> DataFrame:
     """(table, match, score): every reference table, those without a match with 0. matches: table, match; scores: match, score."""
     both = references.select("table").join(matches, "table", "left").join(scores, "match", "left")

@@ -10,7 +10,7 @@ from stitchwork.functions import similarity
 from stitchwork.operators import duplicates, graph, knowledge, matching, selection, vectors
 from stitchwork.plans.queries_data import table
 from stitchwork.plans.queries_matching import CELLS, COLUMN_ROWS, LABELS, OVERLAP, TOKENS, _cells, _columns
-from stitchwork.plans.queries_selection import _edges
+from stitchwork.plans.queries_selection import EDGES, _edges
 
 CLASSED = """cand AS (SELECT DISTINCT c_nationkey AS "table", c_mktsegment AS class, 'c' || c_custkey % 3 AS l, 'p' || c_custkey % 3 AS r, count(*) AS n FROM customer GROUP BY ALL)"""
 
@@ -206,6 +206,19 @@ def i10_pairwise_refined(spark, sf_dir):
     return matching.pairwise_refined(_wrong(c), matching.label_matches(c), c, graph.disjoint_headers(c.select("table_id", "header")))
 
 
+@query(f"WITH {COLUMN_ROWS}, {LABELS} SELECT least(l, r) AS l, greatest(l, r) AS r FROM labels_ WHERE NOT ctx")
+def i11_matched(spark, sf_dir):
+    """Equal headers, refined and closed; no header stands twice in a table, so that all pairs stay."""
+    c = _columns(spark, sf_dir).where("not is_context")
+    cells = c.select("table_id", F.lit("0").alias("row_id"), "col_id", F.col("header").alias("v"))
+    return matching.matched(cells, c)
+
+
+@query(f"WITH {EDGES} SELECT l, r, score FROM e WHERE score >= 3")
+def c12_above_threshold(spark, sf_dir):
+    return selection.above(_edges(spark, sf_dir).select("l", "r", "score"), 3.0)
+
+
 @query(f"WITH {COLUMN_ROWS}, {LABELS}, b AS (SELECT l, r FROM labels_ UNION SELECT r, l FROM labels_) SELECT l AS col_id, string_agg(r, '|' ORDER BY r) AS mapped FROM b GROUP BY 1")
 def i15_translated_columns(spark, sf_dir):
     c = _columns(spark, sf_dir)
