@@ -65,7 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. Steps of a stage, and what the stage before kept, are removed as soon as its own result is stored."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"{common.work_dir(spark)}/{name}")
+        path = f"{common.work_dir(spark)}/{name}"
+        with common.scope(spark):
+            docs = common.stored(stage(spark, docs, sf_dir), path)
+        if last:
+            common.remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir).select(*(F.col(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")))
