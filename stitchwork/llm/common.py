@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +32,22 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="stitchwork-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stitchwork/{uuid.uuid4().hex}"
+    return "/".join([base.rstrip("/"), "stitchwork", *_scopes, uuid.uuid4().hex])
+
+
+_scopes: list[str] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Folders for steps that are made inside are removed at its end, when what was made of them is stored."""
+    folder = work_dir(spark)
+    _scopes.append(folder.rpartition("/")[2])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        remove(spark, folder)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import collections
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
 from stitchwork.llm import common, packing, quality, registry
@@ -67,3 +69,21 @@ def test_registered(spark):
     assert set(registry.QUERIES) <= set(names) and "pipeline" in names
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "secret_scan", "best_fit_packing"]
+
+
+def test_run_leaves_no_steps_behind(spark, small):
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/stitchwork"
+    before = set(common.names_in(spark, base))
+    n = corpus_pipeline.run(spark, small).count()
+    left = set(common.names_in(spark, base)) - before
+    # the last stage's pieces and what the stage before kept
+    assert n and len([name for name in left if common.names_in(spark, f"{base}/{name}")]) == 2
+
+
+def test_rows_without_id_go_through(spark, small):
+    rows = common.table(spark, small, "documents")
+    nameless = rows.where("doc_id < 100").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" and more words")))
+    docs = rows.unionByName(nameless)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, small), common.work_dir(spark))
+    assert docs.where("doc_id is null").count() > 20
