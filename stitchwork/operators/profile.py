@@ -112,6 +112,7 @@ def fusion_statistics(clusters: DataFrame) -> DataFrame:
 
 
 def numbered(items: DataFrame, order: list) -> DataFrame:
-    """items with an id from 0 in an order (tables by falling size, dependencies by their text). Items are metadata: tables and
-    dependencies, not rows."""
-    return items.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    """items with an id from 0 in an order (tables by falling size, dependencies by their text)."""
+    from stitchwork.operators.ranking import row_numbers
+
+    return row_numbers(items, order, "id")

@@ -14,6 +14,22 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def row_numbers(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
+    """Rows numbered in an order, without bringing them to one task: sorted by ranges, numbered in each, and moved on by the sizes of the
+    ranges before, of which there are as many as partitions."""
+    from stitchwork.operators.graph import _cut
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = _cut(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    sizes = sorted((r["__part"], r["count"]) for r in marked.groupBy("__part").count().collect())
+    before, total = [], first
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    begins = df.sparkSession.createDataFrame(before, "p int, begin long")
+    return marked.join(begins, F.col("__part") == F.col("p")).withColumn(name, F.col("begin") + F.col("__at")).drop("__part", "__at", "p", "begin")
+
+
 def mutual_best(edges: DataFrame, by: list[str] = ["l_table", "r_table"]) -> DataFrame:  # noqa: B006
     """edges that are the best of both their ends within a pair of tables; ties go to the smaller id."""
     rank = lambda end, other: F.row_number().over(Window.partitionBy(*by, end).orderBy(F.desc("score"), other))

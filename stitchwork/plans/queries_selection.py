@@ -237,13 +237,13 @@ def f05_greedy_one_to_one(spark, sf_dir):
     return ranking.greedy_one_to_one(_scored(spark, sf_dir), ["l_table", "r_table"])
 
 
-@query("SELECT o_custkey AS \"table\", n, CAST(row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS INT) AS id FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
+@query("SELECT o_custkey AS \"table\", n, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS id FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
 def f10_ids_by_size(spark, sf_dir):
     sizes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("table")).agg(F.count("*").alias("n"))
     return profile.numbered(sizes, [F.desc("n"), "table"])
 
 
-@query(f"WITH {DEPENDENCIES}, t AS (SELECT table_id, list_aggregate(list_sort(det), 'string_agg', ',') AS det FROM deps) SELECT table_id, CAST(row_number() OVER (ORDER BY det, table_id) - 1 AS INT) AS id FROM t")
+@query(f"WITH {DEPENDENCIES}, t AS (SELECT table_id, list_aggregate(list_sort(det), 'string_agg', ',') AS det FROM deps) SELECT table_id, row_number() OVER (ORDER BY det, table_id) - 1 AS id FROM t")
 def f11_dependency_ids(spark, sf_dir):
     named = _dependencies(spark, sf_dir).select("table_id", F.array_join(F.array_sort("det"), ",").alias("det"))
     return profile.numbered(named, ["det", "table_id"]).select("table_id", "id")

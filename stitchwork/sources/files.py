@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stitchwork.operators import ranking
+
 
 def web_tables(spark: SparkSession, folder: str) -> DataFrame:
     """JSON tables below a folder: path, url, title, heading, header (array), rows (array of arrays)."""
@@ -38,8 +40,8 @@ def table_ids(paths: DataFrame, first: int = 0) -> DataFrame:
     claim = F.row_number().over(Window.partitionBy("d").orderBy("path"))
     named = named.withColumn("own", F.when((F.col("d") >= first) & (claim == 1), F.col("d")))
     top = named.agg(F.coalesce(F.max("own"), F.lit(first - 1))).first()[0]
-    rest = named.where("own is null").select("path", (F.row_number().over(Window.orderBy("path")) + top).alias("table_id"))
-    return named.where("own is not null").select("path", F.col("own").alias("table_id")).unionByName(rest)
+    rest = ranking.row_numbers(named.where("own is null").select("path"), ["path"], "table_id", top + 1)
+    return named.where("own is not null").select("path", F.col("own").cast("long").alias("table_id")).unionByName(rest)
 
 
 def cells(tables: DataFrame) -> DataFrame:
@@ -144,10 +146,10 @@ def write_report(df: DataFrame, path: str, append: bool = False) -> None:
 
 def write_graph(edges: DataFrame, path: str) -> None:
     """A graph in the .net format: *Vertices n, a line for each, *Edges, a line for each of (l, r, score)."""
-    nodes = edges.select(F.col("l").alias("node")).union(edges.select("r")).distinct().withColumn("i", F.row_number().over(Window.orderBy("node")))
+    nodes = ranking.row_numbers(edges.select(F.col("l").alias("node")).union(edges.select("r")).distinct(), ["node"], "i", 1)
     number = lambda x: nodes.select(F.col("node").alias(x), F.col("i").alias(f"{x}_i"))
     n = nodes.count()
-    head = edges.sparkSession.createDataFrame([(0, 0, f"*Vertices {n}"), (2, 0, "*Edges")], "part int, i int, value string")
+    head = edges.sparkSession.createDataFrame([(0, 0, f"*Vertices {n}"), (2, 0, "*Edges")], "part int, i long, value string")
     vertices = nodes.select(F.lit(1).alias("part"), "i", F.format_string('%d "%s"', "i", "node").alias("value"))
     lines = edges.join(number("l"), "l").join(number("r"), "r").select(F.lit(3).alias("part"), F.col("l_i").alias("i"), F.format_string("%d %d %s", "l_i", "r_i", F.col("score").cast("string")).alias("value"))
     head.unionByName(vertices).unionByName(lines).orderBy("part", "i", "value").select("value").coalesce(1).write.mode("overwrite").text(path)

@@ -67,3 +67,28 @@ def test_writers(spark, tmp_path):
     (tmp_path / "r.csv").write_text("1,?,3\n4,5\n7,8,9\n")
     df = files.numbered_relation(spark, str(tmp_path / "r.csv"), null="?", hidden=(2,))
     assert df.columns == ["0", "1"] and {tuple(r) for r in df.collect()} >= {("1", None), ("7", "8")}
+
+
+def test_services(spark):
+    """A18, by a function in place of the network."""
+    from stitchwork.sources import services
+
+    def fetch(url):
+        if "down" in url:
+            raise OSError("no route")
+        if "sparql" in url:
+            return '{"results": {"bindings": [{"abstract": {"value": "a town"}}]}}'
+        return '{"results": [{"uri": "http://x/Paris"}, {"uri": "http://x/Paris_2"}]}' if "Paris" in url else '{"results": []}'
+
+    words = spark.createDataFrame([("Paris",), ("Paris",), ("down",), ("none & more",), (None,)], "word string")
+    rows = sorted((r.word or "", r.uri or "", r.error or "") for r in services.looked_up(words, "word", "http://lookup", 5, fetch).collect())
+    assert rows == [("", "", ""), ("Paris", "http://x/Paris", ""), ("Paris", "http://x/Paris_2", ""), ("down", "", "no route"), ("none & more", "", "")]
+    found = services.abstracts(spark.createDataFrame([("http://x/Paris",)], "uri string"), "uri", "http://sparql", fetch).collect()
+    assert [(r.uri, r.abstract) for r in found] == [("http://x/Paris", "a town")]
+
+
+def test_numbers_in_an_order(spark):
+    from stitchwork.operators import ranking
+
+    rows = ranking.row_numbers(spark.range(1000).selectExpr("(id * 7919) % 1000 as v").repartition(9), ["v"], "n", 5).collect()
+    assert {r.v: r.n for r in rows} == {v: v + 5 for v in range(1000)}
