@@ -118,12 +118,12 @@ def class_extract(kb: DataFrame, kind: str, key: str) -> DataFrame:
 
 
 def disambiguation_profile(entities: DataFrame, properties: DataFrame, least: float = 0.05) -> DataFrame:
-    """What the brackets of labels hold: (class, what, share) for a year, the class name, or a property's value. entities: id, class,
+    """What the brackets of labels hold: (class, what, share) for a year, a decade, the class name, or a property's value. entities: id, class,
     label; properties: id, property, value."""
     noted = entities.withColumn("note", F.lower(text.bracket_text(F.col("label")))).where("note is not null")
     n = noted.groupBy("class").agg(F.count("*").alias("n"))
-    year, named = F.col("note").rlike(r"\b\d{4}s?\b"), F.expr("contains(note, lower(class))")
-    own = noted.select("class", "id", F.explode(F.array_compact(F.array(F.when(year, "year"), F.when(named, "class name")))).alias("what"))
+    year, decade, named = F.col("note").rlike(r"\b\d{4}\b"), F.col("note").rlike(r"\b\d{2,3}0s\b"), F.expr("contains(note, lower(class))")
+    own = noted.select("class", "id", F.explode(F.array_compact(F.array(F.when(year, "year"), F.when(decade, "decade"), F.when(named, "class name")))).alias("what"))
     held = noted.join(properties.where("value != ''"), "id").where(F.expr("contains(note, lower(value))")).select("class", "id", F.col("property").alias("what"))
     counts = own.unionByName(held).distinct().groupBy("class", "what").agg(F.count("*").alias("c")).join(n, "class")
     return counts.withColumn("share", F.round(F.col("c") / F.col("n"), 6)).where(F.col("share") >= least).select("class", "what", "share")

@@ -74,9 +74,12 @@ def votes(edges: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     return summed.join(sizes, "l_table").select("l", "r", F.round(F.col("score") / F.col("n_rows"), 6).alias("score")).where(F.col("score") >= least)
 
 
-def class_argmax(scores: DataFrame, least: int = 1) -> DataFrame:
-    """Per table the class with the largest sum of scores, if it has enough matches. scores: table, class, score."""
+def class_argmax(scores: DataFrame, least: int = 1, sizes: DataFrame | None = None, ratio: float = 0.0) -> DataFrame:
+    """Per table the class with the largest sum of scores, among those with enough matches, and with sizes (table, n_entities)
+    enough for the table's size. scores: table, class, score."""
     sums = scores.groupBy("table", "class").agg(F.sum("score").alias("score"), F.count("*").alias("n")).where(F.col("n") >= least)
+    if sizes is not None:
+        sums = sums.join(sizes, "table").where(F.col("n") >= ratio * F.col("n_entities")).drop("n_entities")
     first = Window.partitionBy("table").orderBy(F.desc("score"), "class")
     return sums.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 

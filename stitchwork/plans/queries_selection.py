@@ -214,7 +214,7 @@ def e10_dependant_pairs(spark, sf_dir):
 
 @query(r"""WITH n AS (SELECT c_mktsegment AS class, c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '1990s' WHEN 1 THEN lower(c_mktsegment) || ' x' WHEN 2 THEN 'nation ' || c_nationkey END AS note, 'nation ' || c_nationkey AS value FROM customer),
 k AS (SELECT * FROM n WHERE note IS NOT NULL), t AS (SELECT class, count(*) AS n FROM k GROUP BY 1),
-w AS (SELECT class, id, 'year' AS what FROM k WHERE regexp_matches(note, '\b\d{4}s?\b') UNION ALL SELECT class, id, 'class name' FROM k WHERE contains(note, lower(class)) UNION ALL SELECT class, id, 'home' FROM k WHERE contains(note, value))
+w AS (SELECT class, id, 'decade' AS what FROM k WHERE regexp_matches(note, '\b\d{2,3}0s\b') UNION ALL SELECT class, id, 'class name' FROM k WHERE contains(note, lower(class)) UNION ALL SELECT class, id, 'home' FROM k WHERE contains(note, value))
 SELECT class, what, round(count(*) / max(n), 6) AS share FROM w JOIN t USING (class) GROUP BY 1, 2 HAVING count(*) / max(n) >= 0.05""")
 def e16_disambiguation_profile(spark, sf_dir):
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 4
@@ -224,6 +224,14 @@ def e16_disambiguation_profile(spark, sf_dir):
     return knowledge.disambiguation_profile(entities, c.select(F.col("c_custkey").alias("id"), F.lit("home").alias("property"), nation.alias("value")))
 
 
+@query("""WITH s AS (SELECT c_nationkey AS "table", c_mktsegment AS class, round(sum(c_acctbal), 2) AS score, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT c_nationkey, count(*) AS e FROM customer GROUP BY 1), k AS (SELECT s.*, row_number() OVER (PARTITION BY "table" ORDER BY score DESC, class) AS k FROM s JOIN t ON c_nationkey = "table" WHERE n >= 2 AND n >= 0.2 * e) SELECT "table", class, score, n FROM k WHERE k = 1""")
+def e18_classes_with_enough_matches(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    sizes = c.groupBy(F.col("c_nationkey").alias("table")).agg(F.count("*").alias("n_entities"))
+    found = profile.class_argmax(c.select(F.col("c_nationkey").alias("table"), F.col("c_mktsegment").alias("class"), F.col("c_acctbal").alias("score")), 2, sizes, 0.2)
+    return found.withColumn("score", F.round("score", 2))
+
+
 @query(f"WITH {EDGES} SELECT l, r, \"table\", round(score / max(score) OVER w * (cells + 1.0) / (max(cells) OVER w + 1.0), 6) AS score FROM e WINDOW w AS (PARTITION BY \"table\")")
 def e19_normalised_scores(spark, sf_dir):
     return selection.normalised_scores(_edges(spark, sf_dir))
