@@ -16,7 +16,7 @@ def folder(spark: SparkSession) -> str:
     """A new folder where the session says that checkpoints go, which driver and executors share; a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.startswith(("local-cluster", "spark:", "yarn", "k8s:", "mesos:")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="stitchwork-")
         spark.conf.set("spark.checkpoint.dir", base)

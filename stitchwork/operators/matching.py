@@ -376,13 +376,15 @@ def full_key_entities(cells: DataFrame, keys: DataFrame) -> DataFrame:
     return blocks.groupBy("class", "key", "token").agg(F.count("*").alias("n"))
 
 
-def matched(cells: DataFrame, columns: DataFrame, matcher: str = "label", threshold: float = 0.2) -> DataFrame:
-    """A matcher's edges (label, value or cosine of values; the last two from a threshold on), refined by pairs of headers, by
+def matched(cells: DataFrame | None, columns: DataFrame, matcher: str | DataFrame = "label", threshold: float = 0.2) -> DataFrame:
+    """A matcher's edges (label, value or cosine of values, the last two from a threshold on; or edges l, r), refined by pairs of headers, by
     graph and by transitivity: (l, r), all pairs of each component. cells: table_id, row_id, col_id, v; columns: table_id, col_id, header,
     is_context."""
     ends = lambda e: e.join(columns.select(F.col("col_id").alias("l")), "l", "left_semi").join(columns.select(F.col("col_id").alias("r")), "r", "left_semi")
-    labels = label_matches(columns, True)
-    if matcher == "value":
+    labels = label_matches(columns)
+    if isinstance(matcher, DataFrame):
+        edges = matcher
+    elif matcher == "value":
         sizes = cells.groupBy("col_id").agg(F.countDistinct("v").alias("n"))
         side = lambda x: sizes.select(F.col("col_id").alias(x), F.col("n").alias(f"{x}_n"))
         share = F.col("score") / F.least("l_n", "r_n")
