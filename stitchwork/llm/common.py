@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +29,7 @@ def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset, a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.startswith(("local-cluster", "spark:", "yarn", "k8s:", "mesos:")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="stitchwork-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -74,12 +75,27 @@ def renamed(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     return docs.select(*(docs[f"`{old}`"].alias(new) for new, old in columns.items()))
 
 
+def trim() -> None:
+    """Gives memory that a worker holds but does not use back to the system: workers live on, and their next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     spark = df.sparkSession
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     if int(old) <= 0 or int(old) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = KERNEL_CHARS) -> Iterator[pa.RecordBatch]:
