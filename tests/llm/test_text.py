@@ -151,11 +151,15 @@ def test_exact_dedup(spark, hard, nothing, documents):
 
 
 def test_state_goes_on_with_later_batches(spark):
-    state = exact_dedup.DedupState(spark, common.work_dir(spark))
-    key = lambda rows: spark.createDataFrame(rows, "digest string, doc_id long, locator string")
-    state.add(key([("x", 1, "f"), ("y", 2, "f")]))
-    rows = {r.digest: (r.n, r.doc_id, r.locator) for r in state.add(key([("x", 5, "g"), ("z", 3, "g")])).collect()}
-    assert rows == {"x": (2, 5, "g"), "y": (1, 2, "f"), "z": (1, 3, "g")}
+    folder = common.work_dir(spark)
+    state = exact_dedup.DedupState(spark, folder)
+    key = lambda rows: spark.createDataFrame(rows, "digest string, doc_id long")
+    state.add(key([("x", 1), ("y", 2)]))
+    state = exact_dedup.DedupState(spark, folder)  # another session
+    assert state.batches == 1
+    keys, found = state.add(key([("x", 5), ("z", 3)]))
+    assert {r.digest: (r.n, r.doc_id, r["first"]) for r in found.collect()} == {"x": (2, 5, 1), "z": (1, 3, 2)}
+    assert {(r.digest, r.doc_id, r.locator) for r in keys.collect()} == {("x", 5, 2), ("z", 3, 2)}
 
 
 @pytest.mark.parametrize("digest", [None, "cast(length(text) % 2 as string)"])
