@@ -248,9 +248,15 @@ def linked_entities(web: DataFrame, kb: DataFrame, threshold: float = 0.6) -> Da
 
 
 def classes_by_linking(links: DataFrame, sizes: DataFrame, min_entities: int = 3, min_mapped: float = 0.0, least: float = 0.0) -> DataFrame:
-    """I32: (col_id, class, score): score = sum of similarities over the number of entities. links: col_id, class, entity, score; sizes: col_id, n."""
-    sums = links.groupBy("col_id", "class").agg(F.sum("score").alias("sum"), F.countDistinct("entity").alias("mapped")).join(sizes, "col_id")
-    scored = sums.withColumn("score", F.round(F.col("sum") / F.col("n"), 6))
+    """I32: (col_id, class, score): score = sum of similarities over the number of entities. links: col_id, class, entity, score; sizes: col_id, n.
+    Similarities are summed as decimals of 18 places, so that the sum does not depend on the order of rows; what is too large for that (or no
+    number) is summed as it is."""
+    score = F.col("score").cast("double")
+    near = F.abs(score) < 1e9
+    exact, rest = F.sum(F.when(near, score).cast("decimal(28,18)")).cast("double"), F.sum(F.when(~near, score))
+    sums = links.groupBy("col_id", "class").agg(F.coalesce(exact + rest, exact, rest).alias("sum"), F.countDistinct("entity").alias("mapped")).join(sizes, "col_id")
+    # a half is one of the scaled double, as in the SQL; F.round(x, 6) would take the shortest decimal of x instead
+    scored = sums.withColumn("score", F.round(F.col("sum") / F.col("n") * 1e6) / 1e6)
     return scored.where((F.col("mapped") >= min_entities) & (F.col("mapped") / F.col("n") >= min_mapped) & (F.col("score") >= least)).select("col_id", "class", "score")
 
 

@@ -1,11 +1,14 @@
 """Cases in which a count, a bound or a parser could lose something."""
 
+import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stitchwork import catalog
 from stitchwork.operators import context, dependencies, duplicates, evaluation, graph, matching, patterns, vectors
 from stitchwork.sources import files
 
@@ -111,3 +114,27 @@ def test_relation_scores_map_tables_one_to_one(spark):
 
 def test_stop_words_are_those_of_templates():
     assert len(patterns.STOP_WORDS) == 33 and {"but", "such", "then", "no", "their"} <= set(patterns.STOP_WORDS)
+
+
+def test_classes_by_linking_is_its_sql_at_halves(spark, tmp_path):
+    r, parts = random.Random(3), []
+    for b in range(120):
+        n = r.choice([32, 64, 96])
+        parts += [(f"Brand#{b}", "A" if i < 13 else f"T{i}", r.randint(1, 50)) for i in range(n)]
+    parts = [(i, *p) for i, p in enumerate(parts)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    expected = {(b, c): s for b, c, s in con.execute(catalog.ORACLE_SQL["i32_classes_by_linking"]).fetchall()}
+    found = {(x.col_id, x["class"]): x.score for x in catalog.QUERIES["i32_classes_by_linking"](spark, str(tmp_path)).collect()}
+    assert len(expected) > 100 and found == expected
+
+
+def test_classes_by_linking_in_any_order_of_rows(spark):
+    r, sizes = random.Random(4), [9, 38, 50, 20, 47, 43, 42, 34, 32, 19, 28]
+    links = [(str(k), i, x / 100) for k in range(50) for i, x in enumerate(r.sample(sizes, len(sizes)))]
+    links += [("large", 1, 5e9), ("large", 2, 0.25), ("none", 1, float("nan")), ("none", 2, 0.5), ("null", 1, None), ("null", 2, 6.4)]
+    links = spark.createDataFrame(links, "col_id string, entity int, score double").withColumn("class", F.lit("x")).coalesce(1)
+    found = {x.col_id: x.score for x in matching.classes_by_linking(links, links.select("col_id").distinct().withColumn("n", F.lit(64)), 2).collect()}
+    assert {found[str(k)] for k in range(50)} == {0.056563}
+    assert found["large"] == 78125000.003906 and math.isnan(found["none"]) and found["null"] == 0.1
