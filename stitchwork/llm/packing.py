@@ -66,6 +66,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
+def planned(spark: SparkSession, rows: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """The plan's rows as a table. They go over as Arrow: of a list, each executor would start more Python workers only to copy it."""
+    columns = np.array(rows, np.int64).reshape(-1, len(PLAN.split(","))).T
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], [c.split()[0] for c in PLAN.split(",")]), PLAN)
+
+
 def token_pieces(texts: list[str], path: str, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All ids, each document's end id among them, and of each piece: row, number, start in the document, length."""
     ids, bounds = bpe.vocabulary(path).encode(texts)
@@ -113,7 +119,7 @@ def pack(docs: DataFrame, path: str = bpe.VOCABULARY, capacity: int = CAPACITY,
     histogram = {r.length: r["sum(count)"] for r in runs.groupBy("length").sum("count").collect()}  # at most a row for each length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = runs.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    slots = spark.createDataFrame(plan(histogram, capacity), PLAN).withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + n - 1) div {BLOCK})"))).withColumnRenamed("length", "slot_length").withColumnRenamed("rank", "slot_rank")
+    slots = planned(spark, plan(histogram, capacity)).withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + n - 1) div {BLOCK})"))).withColumnRenamed("length", "slot_length").withColumnRenamed("rank", "slot_rank")
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).withColumn("rank_block", F.expr(f"rank div {BLOCK}"))
     place = F.col("rank") - F.col("first")
     here = (F.col("length") == F.col("slot_length")) & (F.col("rank_block") == F.col("block")) & (place >= 0) & (place < F.col("n"))

@@ -75,7 +75,8 @@ class Ledger:
     def findings(self) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], f"blob string, found {FOUND}")
+            # an empty list would be copied by Python workers of its own, which each executor then keeps
+            return self.spark.range(0).select(F.lit(None).cast("string").alias("blob"), F.lit(None).cast(FOUND).alias("found"))
         return self.spark.read.schema(f"blob string, found {FOUND}").parquet(self.path)
 
     def scan(self, versions: DataFrame, path_col: str = "path", version_col: str | None = "version", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from stitchwork.llm import common, packing, quality, registry
+from stitchwork.llm import common, packing, quality, registry, secrets
 
 from .test_text import brute_base, brute_components, brute_spans
 
@@ -87,3 +87,14 @@ def test_rows_without_id_go_through(spark, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.stored(stage(spark, docs, small), common.work_dir(spark))
     assert docs.where("doc_id is null").count() > 20
+
+
+def test_tables_of_the_driver_take_no_python_workers(spark, small):
+    """A list given to createDataFrame goes through Python workers of another kind than the operators', which executors then hold beside those."""
+    none = secrets.Ledger(spark, f"{common.work_dir(spark)}/none").findings()
+    packed = packing.pack(common.table(spark, small, "documents"))
+    assert ["ExistingRDD" in t._jdf.queryExecution().toString() for t in (none, packed)] == [False, False]
+    assert none.dtypes == [("blob", "string"), ("found", "array<struct<kind:string,start:int,end:int>>")] and none.count() == 0
+    for rows in (packing.plan({2048: 3, 1000: 5, 7: 9000}), []):
+        listed, planned = spark.createDataFrame(rows, packing.PLAN), packing.planned(spark, rows)
+        assert planned.dtypes == listed.dtypes and sorted(planned.collect()) == sorted(listed.collect())
