@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of each side in one cell of a grid, and pairs of one key from which on its rows are dealt over a grid.
+CELL_ROWS, GRID_PAIRS = 1024, 4 * 1024 * 1024
+
 
 def present(c: str) -> Column:
     """Neither null nor blank."""
@@ -118,3 +121,25 @@ def fill_cover(tables: dict[str, set], wanted: set) -> list[str]:
         out.append(best)
         missing -= tables[best]
     return out
+
+
+def all_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join on columns of both sides, for keys of many pairs: the rows of a key of over GRID_PAIRS pairs are dealt over a grid, by
+    their hash, and copied once for each cell that they meet, so that a few keys with most of the rows are work for all tasks. Rows of
+    other keys are not copied. Keys for a grid are at most one for each 4096 rows, and so are broadcast."""
+    filled = reduce(Column.__and__, (F.col(c).isNotNull() for c in on))
+    left, right = left.where(filled), right.where(filled)
+    count = lambda d, name: d.groupBy(*on).agg(F.count("*").alias(name))
+    many = count(left, "__a").join(count(right, "__b"), on).where(F.col("__a") * F.col("__b").cast("double") > GRID_PAIRS)
+    cells = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
+    grid = F.broadcast(many.select(*on, cells("__a").alias("__rows"), cells("__b").alias("__columns")))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(d: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        n = lambda c: F.coalesce(c, F.lit(1))
+        place = F.pmod(F.xxhash64(*(d[f"`{c}`"] for c in d.columns)), n(F.col(n_own))).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), n(F.col(n_other)) - 1)).alias(other)
+        return d.join(grid, on, "left").select(*(d[f"`{c}`"] for c in d.columns), place, copies).repartition(parts, *on, "__row", "__column")
+
+    a, b = dealt(left, "__row", "__rows", "__column", "__columns"), dealt(right, "__column", "__columns", "__row", "__rows")
+    return a.join(b.hint("merge"), [*on, "__row", "__column"]).drop("__row", "__column")
