@@ -166,9 +166,34 @@ def schema_votes(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: s
     a = left.select(F.col(left_id).alias("l"), *(F.col(c).cast("string").alias(f"l_{c}") for c in left_columns))
     b = right.select(F.col(right_id).alias("r"), *(F.col(c).cast("string").alias(f"r_{c}") for c in right_columns))
     both = pairs.join(a, "l").join(b, "r")
-    sums = [F.avg(F.col(f"l_{x}").eqNullSafe(F.col(f"r_{y}")).cast("double")).alias(f"{x}~{y}") for x in left_columns for y in right_columns]
-    row = both.agg(*sums).unpivot([], [f"{x}~{y}" for x in left_columns for y in right_columns], "pair", "score")
-    return row.select(F.split("pair", "~")[0].alias("l"), F.split("pair", "~")[1].alias("r"), F.round("score", 6).alias("score")).where("score > 0")
+    shares = {(x, y): F.avg(F.col(f"l_{x}").eqNullSafe(F.col(f"r_{y}")).cast("double")) for x in left_columns for y in right_columns}
+    return _votes(both, shares)
+
+
+def _votes(both: DataFrame, shares: dict[tuple[str, str], Column]) -> DataFrame:
+    """(l, r, score) of one row of shares, rounded as in SQL: a half is one of the scaled double."""
+    named = {f"v{i}": pair for i, pair in enumerate(shares)}
+    row = both.agg(*(shares[pair].alias(v) for v, pair in named.items()))
+    each = [F.struct(F.lit(x).alias("l"), F.lit(y).alias("r"), (F.round(F.col(v) * 1e6) / 1e6).alias("score")) for v, (x, y) in named.items()]
+    return row.select(F.inline(F.array(*each))).where("score > 0")
+
+
+def schema_votes_by_key(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_columns: list[str], right_columns: list[str]) -> DataFrame:
+    """I08 for all pairs of records that agree in a determinant (I07), from the counts of each key's values: pairs of records are counted
+    and not made, for all columns by one scan of each side. Column -1 has one value, so that its products are all pairs."""
+
+    def counts(d: DataFrame, keys: list[str], columns: list[str], i: str, n: str) -> DataFrame:
+        cells = [F.struct(F.lit(k).alias(i), v.alias("v")) for k, v in [(-1, F.lit(None).cast("string")), *((k, F.col(c).cast("string")) for k, c in enumerate(columns))]]
+        keyed = d.select(*(F.col(c).cast("string").alias(f"k{k}") for k, c in enumerate(keys)), F.inline(F.array(*cells)))
+        names = [f"k{k}" for k in range(len(keys))]
+        return keyed.dropna(subset=names).groupBy(*names, i, "v").agg(F.count("*").cast("decimal(18,0)").alias(n))
+
+    a = counts(left, [x for x, _ in on], left_columns, "i", "n")
+    b = counts(right, [y for _, y in on], right_columns, "j", "m").select(*(F.col(f"k{k}").alias(f"h{k}") for k in range(len(on))), F.col("v").alias("w"), "j", "m")
+    same = reduce(Column.__and__, (F.col(f"k{k}") == F.col(f"h{k}") for k in range(len(on)))) & F.col("v").eqNullSafe(F.col("w"))
+    pairs = lambda i, j: F.sum(F.when((F.col("i") == i) & (F.col("j") == j), F.col("n") * F.col("m"))).cast("double")
+    shares = {(x, y): pairs(i, j) / pairs(-1, -1) for i, x in enumerate(left_columns) for j, y in enumerate(right_columns)}
+    return _votes(a.join(b, same), shares)
 
 
 def token_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: Column, right_text: Column, longest: int | None = None) -> DataFrame:

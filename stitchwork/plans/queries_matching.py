@@ -183,8 +183,7 @@ UNION ALL SELECT 'bal', 'c_nationkey', round(avg(CAST(x = b AS DOUBLE)), 6) FROM
 def i08_schema_votes(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("bal", F.round("s_acctbal", -3).cast("long"))
     c = table(spark, sf_dir, "customer").withColumn("bal", F.round("c_acctbal", -3).cast("long"))
-    pairs = matching.duplicates_by_key(s, c, "s_suppkey", "c_custkey", [("s_nationkey", "c_nationkey")])
-    return matching.schema_votes(pairs, s, c, "s_suppkey", "c_custkey", ["s_nationkey", "bal"], ["c_nationkey", "bal"])
+    return matching.schema_votes_by_key(s, c, [("s_nationkey", "c_nationkey")], ["s_nationkey", "bal"], ["c_nationkey", "bal"])
 
 
 @query(r"""WITH a AS (SELECT DISTINCT item_id, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS token FROM benchmark)

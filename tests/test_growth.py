@@ -2,11 +2,12 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from stitchwork import catalog
-from stitchwork.operators import graph
+from stitchwork.operators import graph, matching
 
 
 def rows_made(spark, run, kinds):
@@ -63,3 +64,25 @@ def test_pairs_of_few_keys_are_dealt_out(spark, monkeypatch):
     assert shares(found) < 0.5
     assert relational.all_pairs(a, b.limit(0), ["k"]).collect() == []
     assert {tuple(r) for r in graph.paired(a, "l", ["k"]).where("l = 405").collect()} == {(405, i) for i in range(400, 410)}
+
+
+def test_schema_votes_count_pairs(spark, tmp_path):
+    money = lambda x: ((F.col("id") * 37) % 13 * 1000.0).alias(x)
+    spark.range(600).select(F.col("id").alias("s_suppkey"), (F.col("id") % 2).cast("int").alias("s_nationkey"), money("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(900).select(F.col("id").alias("c_custkey"), (F.col("id") % 2).cast("int").alias("c_nationkey"), money("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    found, most = rows_made(spark, lambda: catalog.QUERIES["i08_schema_votes"](spark, str(tmp_path)).collect(), "Join|Product")
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in found) == sorted(con.execute(catalog.ORACLE_SQL["i08_schema_votes"]).fetchall())
+    assert 0 < most < 1500
+
+
+def test_schema_votes_of_a_key_are_those_of_its_pairs(spark):
+    rows = lambda n, m: spark.createDataFrame([(i, i % 3 or None, "ab"[i % 2], i % m or None) for i in range(n)], "id int, k int, k2 string, `a~b` int")
+    left, right, on = rows(40, 5), rows(31, 4), [("k", "k"), ("k2", "k2")]
+    columns = ["k", "a~b"]
+    pairs = matching.duplicates_by_key(left, right, "id", "id", on)
+    as_made = sorted(tuple(r) for r in matching.schema_votes(pairs, left, right, "id", "id", columns, columns).collect())
+    assert as_made and sorted(tuple(r) for r in matching.schema_votes_by_key(left, right, on, columns, columns).collect()) == as_made
+    assert matching.schema_votes_by_key(left, right.limit(0), on, columns, columns).collect() == []
