@@ -297,9 +297,7 @@ def j07_string_similarities(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     corpus = vectors.TfIdf(p.select(F.col("p_partkey").alias("owner"), F.explode(F.split("p_name", " ")).alias("token")))
     named = p.select(F.col("p_name").alias("owner")).distinct().select("owner", F.explode(F.concat(F.split("owner", " "), F.array(F.lit("unheard")))).alias("token"))
-    other = p.select(F.col("p_name").alias("r"), F.col("p_type").alias("t"), F.col("p_size").alias("s"))
-    pairs = p.join(other, (F.col("p_type") == F.col("t")) & (F.col("p_size") == F.col("s"))).select(F.col("p_name").alias("l"), "r").distinct()
-    return corpus.similarities(named, named, pairs).withColumn("score", F.round("score", 6))
+    return corpus.similarities(named, named, graph.paired(p, "p_name", ["p_type", "p_size"])).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH e AS (SELECT l_orderkey AS a, l_partkey AS b, l_suppkey AS c, l_linenumber AS d FROM lineitem) SELECT a AS l, b AS r, c AS cause_l, d AS cause_r FROM e WHERE least(a % 3, b % 3) = least(c % 3, d % 3) AND greatest(a % 3, b % 3) = greatest(c % 3, d % 3)""")

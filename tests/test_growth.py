@@ -86,3 +86,9 @@ def test_schema_votes_of_a_key_are_those_of_its_pairs(spark):
     as_made = sorted(tuple(r) for r in matching.schema_votes(pairs, left, right, "id", "id", columns, columns).collect())
     assert as_made and sorted(tuple(r) for r in matching.schema_votes_by_key(left, right, on, columns, columns).collect()) == as_made
     assert matching.schema_votes_by_key(left, right.limit(0), on, columns, columns).collect() == []
+
+
+def test_string_similarities_of_many_equal_names(spark, parts):
+    found, most = rows_made(spark, lambda: catalog.QUERIES["j07_string_similarities"](spark, parts).collect(), "Join|Product")
+    assert len(found) == 9 and {r.score for r in found if r.l == r.r} == {1.0}
+    assert 0 < most < 15_000
