@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchwork import catalog
-from stitchwork.operators import graph, matching
+from stitchwork.operators import evaluation, graph, matching
 
 
 def rows_made(spark, run, kinds):
@@ -92,3 +92,20 @@ def test_string_similarities_of_many_equal_names(spark, parts):
     found, most = rows_made(spark, lambda: catalog.QUERIES["j07_string_similarities"](spark, parts).collect(), "Join|Product")
     assert len(found) == 9 and {r.score for r in found if r.l == r.r} == {1.0}
     assert 0 < most < 15_000
+
+
+def test_expanded_edges_are_not_shuffled(spark):
+    sources = spark.range(600).select((F.col("id") % 2).alias("target"), F.col("id").alias("source"))
+    edges = spark.createDataFrame([(0, 1), (1, 1), (0, 1)], "l long, r long")
+    found, most = rows_made(spark, lambda: evaluation.expanded(edges, sources).collect(), "Aggregate")
+    assert len(found) == len({tuple(r) for r in found}) == 2 * 300 * 300
+    assert 0 < most < 15_000
+
+
+def test_expanded_edges_of_sources_with_many_targets(spark):
+    owned = [(t, s) for s in range(30) for t in range(6) if (s * 7 + t * 5) % 4 == 0] + [(1, 4), (1, 4), (None, 3), (2, None)]
+    linked = [(0, 1), (1, 1), (3, 2), (0, 1), (5, 9), (None, 2)]
+    provenance, edges = spark.createDataFrame(owned, "target int, source int"), spark.createDataFrame(linked, "l int, r int")
+    expected = {(a, b) for l, r in linked for t, a in owned for u, b in owned if None not in (l, r, t, u) and t == l and u == r}
+    found = [tuple(x) for x in evaluation.expanded(edges, provenance).collect()]
+    assert len(found) == len(expected) and set(found) == expected
