@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stitchwork.functions import text
-from stitchwork.operators import graph, ranking, vectors
+from stitchwork.operators import graph, ranking, relational, vectors
 
 
 def to_cells(df: DataFrame, table_id: int, row: str, columns: list[str], prefix: str) -> DataFrame:
@@ -158,7 +158,7 @@ def duplicates_by_key(left: DataFrame, right: DataFrame, left_id: str, right_id:
     """Records (l, r) that agree in all columns of a determinant; nulls never agree."""
     a = left.select(F.col(left_id).alias("l"), *(F.col(x).cast("string").alias(f"k{i}") for i, (x, _) in enumerate(on)))
     b = right.select(F.col(right_id).alias("r"), *(F.col(y).cast("string").alias(f"k{i}") for i, (_, y) in enumerate(on)))
-    return a.join(b, [f"k{i}" for i in range(len(on))]).select("l", "r")
+    return relational.all_pairs(a, b, [f"k{i}" for i in range(len(on))]).select("l", "r")
 
 
 def schema_votes(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_columns: list[str], right_columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchwork import catalog
-from stitchwork.operators import evaluation, graph, matching
+from stitchwork.operators import evaluation, graph, matching, relational
 
 
 def rows_made(spark, run, kinds):
@@ -51,8 +51,6 @@ def test_header_synonyms_of_many_equal_names(spark, parts):
 
 
 def test_pairs_of_few_keys_are_dealt_out(spark, monkeypatch):
-    from stitchwork.operators import relational
-
     monkeypatch.setattr(relational, "CELL_ROWS", 16)
     monkeypatch.setattr(relational, "GRID_PAIRS", 1000)
     key = F.when(F.col("id") < 400, 1).when(F.col("id") < 410, 2).when(F.col("id") >= 412, F.col("id") % 5 + 3)
@@ -109,3 +107,12 @@ def test_expanded_edges_of_sources_with_many_targets(spark):
     expected = {(a, b) for l, r in linked for t, a in owned for u, b in owned if None not in (l, r, t, u) and t == l and u == r}
     found = [tuple(x) for x in evaluation.expanded(edges, provenance).collect()]
     assert len(found) == len(expected) and set(found) == expected
+
+
+def test_duplicates_of_one_key_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(relational, "CELL_ROWS", 256, raising=False)
+    left = spark.range(3000).coalesce(1).select(F.col("id").alias("a"), (F.col("id") % 1).alias("k"))
+    right = spark.range(3000).coalesce(1).select(F.col("id").alias("b"), (F.col("id") % 1).alias("m"))
+    found = matching.duplicates_by_key(left, right, "a", "b", [("k", "m")])
+    assert found.distinct().count() == found.count() == 9_000_000
+    assert shares(found) < 0.6
