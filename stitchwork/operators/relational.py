@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows of each side in one cell of a grid, and pairs of one key from which on its rows are dealt over a grid.
 CELL_ROWS, GRID_PAIRS = 1024, 4 * 1024 * 1024
+#: Rows of metadata up to which they are broadcast.
+METADATA_ROWS = 100_000
 
 
 def present(c: str) -> Column:
@@ -143,3 +145,11 @@ def all_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
     a, b = dealt(left, "__row", "__rows", "__column", "__columns"), dealt(right, "__column", "__columns", "__row", "__rows")
     return a.join(b.hint("merge"), [*on, "__row", "__column"]).drop("__row", "__column")
+
+
+def described(rows: DataFrame, metadata: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of rows with metadata (labels, types, assignments), whose few keys most rows can have: broadcast once a count shows that
+    it has up to METADATA_ROWS rows, so that rows stay where they are; more of it meets the rows on a grid (all_pairs)."""
+    if metadata.limit(METADATA_ROWS + 1).count() <= METADATA_ROWS:
+        return rows.join(F.broadcast(metadata), on)
+    return all_pairs(rows, metadata, on)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stitchwork.operators import relational
+
 
 def without_keys(df: DataFrame) -> DataFrame:
     """Without primary and foreign key columns, whatever their case."""
@@ -44,7 +46,8 @@ def weighted_edges(edges: DataFrame, weights: DataFrame) -> DataFrame:
 
 def labelled_records(records: DataFrame, label_columns: DataFrame) -> DataFrame:
     """Records (table_id, row_id, col_id, v) with their table's label value. label_columns: table_id, label."""
-    return records.join(label_columns, "table_id").where("col_id = label").select("table_id", "row_id", F.col("v").alias("label"))
+    named = label_columns.select("table_id", F.col("label").alias("col_id"))
+    return relational.described(records, named, ["table_id", "col_id"]).select("table_id", "row_id", F.col("v").alias("label"))
 
 
 def normalised_scores(edges: DataFrame, bias: float = 1.0) -> DataFrame:

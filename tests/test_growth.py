@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchwork import catalog
-from stitchwork.operators import evaluation, graph, matching, relational
+from stitchwork.operators import evaluation, graph, matching, relational, selection
 
 
 def rows_made(spark, run, kinds):
@@ -116,3 +116,18 @@ def test_duplicates_of_one_key_are_dealt_out(spark, monkeypatch):
     found = matching.duplicates_by_key(left, right, "a", "b", [("k", "m")])
     assert found.distinct().count() == found.count() == 9_000_000
     assert shares(found) < 0.6
+
+
+@pytest.fixture(params=[100_000, 0])
+def metadata_rows(request, monkeypatch):
+    """Metadata broadcast, and more of it than that."""
+    monkeypatch.setattr(relational, "METADATA_ROWS", request.param, raising=False)
+    monkeypatch.setattr(relational, "GRID_PAIRS", 100, raising=False)
+    monkeypatch.setattr(relational, "CELL_ROWS", 16, raising=False)
+
+
+def test_records_of_one_table_stay_dealt_out(spark, metadata_rows):
+    records = spark.range(1000).repartition(8).select(F.lit(0).alias("table_id") + F.col("id") % 1, F.col("id").cast("string").alias("row_id"), F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("col_id"), F.lit("x").alias("v")).toDF("table_id", "row_id", "col_id", "v")
+    found = selection.labelled_records(records, spark.createDataFrame([(0, "c1"), (1, "c0")], "table_id int, label string"))
+    assert found.columns == ["table_id", "row_id", "label"] and found.distinct().count() == 500
+    assert shares(found) < 0.6
