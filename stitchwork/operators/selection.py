@@ -15,7 +15,7 @@ def without_keys(df: DataFrame) -> DataFrame:
 
 def selected_tuples(tuples: DataFrame, wanted: DataFrame) -> DataFrame:
     """C14: tuples (table, attribute, ...) that an assignment asks for, with the name of its output. wanted: table, attribute, output."""
-    return tuples.join(wanted, ["table", "attribute"])
+    return relational.described(tuples, wanted, ["table", "attribute"])
 
 
 def write_selected(selected: DataFrame, path: str) -> None:

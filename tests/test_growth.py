@@ -119,11 +119,14 @@ def test_duplicates_of_one_key_are_dealt_out(spark, monkeypatch):
 
 
 @pytest.fixture(params=[100_000, 0])
-def metadata_rows(request, monkeypatch):
-    """Metadata broadcast, and more of it than that."""
+def metadata_rows(request, monkeypatch, spark):
+    """Metadata broadcast, and more of it than that; rows that are too many to be broadcast."""
     monkeypatch.setattr(relational, "METADATA_ROWS", request.param, raising=False)
     monkeypatch.setattr(relational, "GRID_PAIRS", 100, raising=False)
     monkeypatch.setattr(relational, "CELL_ROWS", 16, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_records_of_one_table_stay_dealt_out(spark, metadata_rows):
@@ -131,3 +134,11 @@ def test_records_of_one_table_stay_dealt_out(spark, metadata_rows):
     found = selection.labelled_records(records, spark.createDataFrame([(0, "c1"), (1, "c0")], "table_id int, label string"))
     assert found.columns == ["table_id", "row_id", "label"] and found.distinct().count() == 500
     assert shares(found) < 0.6
+
+
+def test_tuples_of_one_attribute_stay_dealt_out(spark, metadata_rows):
+    tuples = spark.range(1000).repartition(8).select(F.concat(F.lit("t"), (F.col("id") % 1).cast("string")), F.concat(F.lit("a"), (F.col("id") % 2).cast("string")), F.col("id")).toDF("table", "attribute", "value")
+    wanted = spark.createDataFrame([("t0", "a0", "one"), ("t0", "a0", "two"), ("t1", "a1", "none")], "`table` string, attribute string, output string")
+    found = selection.selected_tuples(tuples, wanted)
+    assert found.columns == ["table", "attribute", "value", "output"] and found.distinct().count() == found.count() == 1000
+    assert shares(found) < 0.6
