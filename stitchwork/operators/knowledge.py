@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stitchwork.functions import text
-from stitchwork.operators import graph, matching, ranking, vectors
+from stitchwork.operators import graph, matching, ranking, relational, vectors
 
 
 def schema_matches(web: DataFrame, kb: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -58,7 +58,8 @@ def duplicate_based(links: DataFrame, web: DataFrame, kb: DataFrame, kind: DataF
     links: l, r (entities); web: id, column, v; kb: id, property, v; kind: column, property, type (pairs of one type only)."""
     w = web.select(F.col("id").alias("l"), "column", F.col("v").alias("x"))
     k = kb.select(F.col("id").alias("r"), "property", F.col("v").alias("y"))
-    both = links.select("l", "r").join(w, "l").join(k, "r").join(kind, ["column", "property"])
+    typed = relational.described(w, kind.select("column", "property", "type"), ["column"])
+    both = links.select("l", "r").join(typed, "l").join(k, ["r", "property"])
     score = F.when(F.col("type") == "numeric", matching.typed_vote(F.col("x"), F.col("y"), "numeric")).when(F.col("type") == "date", matching.typed_vote(F.col("x"), F.col("y"), "date")).otherwise(matching.typed_vote(F.col("x"), F.col("y"), "string"))
     votes = both.withColumn("score", F.coalesce(score, F.lit(0.0)))
     return votes.groupBy(F.col("column").alias("l"), F.col("property").alias("r")).agg(F.round(F.avg("score"), 6).alias("score")).where(F.col("score") >= threshold)

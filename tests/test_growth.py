@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchwork import catalog
-from stitchwork.operators import evaluation, graph, matching, relational, selection
+from stitchwork.operators import evaluation, graph, knowledge, matching, relational, selection
 
 
 def rows_made(spark, run, kinds):
@@ -142,3 +142,13 @@ def test_tuples_of_one_attribute_stay_dealt_out(spark, metadata_rows):
     found = selection.selected_tuples(tuples, wanted)
     assert found.columns == ["table", "attribute", "value", "output"] and found.distinct().count() == found.count() == 1000
     assert shares(found) < 0.6
+
+
+def test_linked_values_of_one_pair_of_columns_are_not_sent_to_one_task(spark, metadata_rows):
+    values = lambda name, of: spark.range(300).select(F.col("id"), F.lit(of).alias(name), (F.col("id") % 7).cast("string").alias("v"))
+    web, kb = values("column", "pop").union(values("column", "other")), values("property", "size").union(values("property", "name"))
+    kind = spark.createDataFrame([("pop", "size", "numeric"), ("pop", "name", "string"), ("none", "size", "date")], "column string, property string, type string")
+    found = knowledge.duplicate_based(spark.range(300).select(F.col("id").alias("l"), F.col("id").alias("r")), web, kb, kind)
+    assert sorted(tuple(r) for r in found.collect()) == [("pop", "name", 1.0), ("pop", "size", 1.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert len(re.findall(r"hashpartitioning\(column#\d+, property", plan)) == 1  # for the result; a join would need two more
