@@ -1,5 +1,7 @@
 """Work must not grow faster than the input, nor fall to one task, where keys are few and rows many."""
 
+import itertools
+import random
 import re
 
 import duckdb
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchwork import catalog
-from stitchwork.operators import evaluation, graph, knowledge, matching, relational, selection
+from stitchwork.operators import dependencies, evaluation, graph, knowledge, matching, relational, selection
 
 
 def rows_made(spark, run, kinds):
@@ -152,3 +154,46 @@ def test_linked_values_of_one_pair_of_columns_are_not_sent_to_one_task(spark, me
     assert sorted(tuple(r) for r in found.collect()) == [("pop", "name", 1.0), ("pop", "size", 1.0)]
     plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
     assert len(re.findall(r"hashpartitioning\(column#\d+, property", plan)) == 1  # for the result; a join would need two more
+
+
+def test_exact_dependencies_group_each_row_once_for_a_determinant(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 500).alias("a"), (F.col("id") % 50).alias("b"), (F.col("id") % 3).alias("c"), F.concat(F.lit("n"), (F.col("id") % 50).cast("string")).alias("d"))
+    found, most = rows_made(spark, lambda: dependencies.discover(df, df.columns, 1), "Generate|Expand|Inline")
+    assert found == {frozenset([x]): frozenset(y) for x, y in (("id", "abcd"), ("a", "bd"), ("b", "d"), ("d", "b"))}
+    assert 0 < most <= 5 * 20_000
+
+
+def by_brute_force(rows, columns, max_size):
+    """Minimal dependencies of rows, null being a value."""
+    groups = lambda cs: len({tuple(r[columns.index(c)] for c in cs) for r in rows})
+    found = {}
+    constant = frozenset(c for c in columns if groups([c]) <= 1)
+    if constant:
+        found[frozenset()] = constant
+    for size in range(1, max_size + 1):
+        new = {}
+        for det in itertools.combinations([c for c in columns if c not in constant], size):
+            deps = frozenset(a for a in columns if a not in constant and a not in det and not any(d <= set(det) and a in dep for d, dep in found.items()) and groups(det) == groups((*det, a)))
+            if deps:
+                new[frozenset(det)] = deps
+        found |= new
+    return found
+
+
+@pytest.mark.parametrize("bits", [7, 0])
+def test_exact_dependencies_are_those_of_brute_force(spark, monkeypatch, bits):
+    """Whatever the hashes tell: with no bits, all is settled by counting."""
+    monkeypatch.setattr(dependencies, "HASH_BITS", bits, raising=False)
+    monkeypatch.setattr(dependencies, "JOB_CANDIDATES", 16)
+    monkeypatch.setattr(dependencies, "JOB_COLUMNS", 7, raising=False)
+    for seed in range(2):
+        r, rows = random.Random(seed), []
+        for _ in range(60):
+            a, b = r.choice([None, 1, 2, 3, 4]), r.choice("xyz")
+            rows.append((a, b, None if a is None else a % 2, f"{a}{b}", r.choice([None, "k"]), 1.5 if b == "x" else float(a or 0), None, f"{a}{b}" if r.random() < 0.98 else "other", len(rows) if seed else r.randint(0, 50), "c"))
+        columns = ["a", "b", "c.d", "e+f", "g", "h", "i", "j", "k", "l"]
+        df = spark.createDataFrame(rows, "a int, b string, `c.d` int, `e+f` string, g string, h double, i string, j string, k int, l string")
+        assert dependencies.discover(df, columns, 2) == by_brute_force(rows, columns, 2)
+    empty = df.limit(0)
+    assert dependencies.discover(empty, columns) == {frozenset(): frozenset(columns)}
+    assert dependencies.discover(df.withColumn("z", F.lit(None)), ["b", "z"]) == {frozenset(): frozenset(["z"])}
